@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from masthead.llm import dedup
 from masthead.llm.bpe import bpe_digests
+from masthead.llm.packing import pack_documents
 from masthead.llm.shared import documents
 from masthead.llm.tokens import read_definition
+from masthead.llm.wavelet import read_token_shards, write_token_shards
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -23,8 +26,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), read_definition(tokenizer_path()))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), read_definition(tokenizer_path()), capacity=2048, end_id=0)
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return read_token_shards(write_token_shards(docs, read_definition(tokenizer_path()), end_id=0), docs.schema["doc_id"].dataType)
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_packing": op5_packing,
+    "op7_token_shards": op7_token_shards,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": dedup.ORACLE_SQL,
+}
