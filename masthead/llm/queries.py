@@ -10,6 +10,7 @@ from masthead.llm import dedup, licenses
 from masthead.llm.bpe import bpe_digests
 from masthead.llm.chat import conversation_digests, format_conversations
 from masthead.llm.flac import media_digests, text_to_flac
+from masthead.llm.jaccard import near_duplicate_classes
 from masthead.llm.langid import language_predictions
 from masthead.llm.packing import pack_documents
 from masthead.llm.shared import documents
@@ -40,6 +41,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), read_definition(tokenizer_path()), capacity=2048, end_id=0)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op7_token_shards": op7_token_shards,
