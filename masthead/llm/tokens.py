@@ -1,9 +1,10 @@
 """Encoding with the ``tokenizers`` library behind a bounded cache of text units.
 
-A text is cut before every single space that a non-space follows.  Such a cut
-never changes what a byte-level pre-tokenizer does (the space always belongs to
-the word after it), so a unit's ids can be kept and reused.  Texts that hold an
-added token's string, and tokenizers of another kind, go through whole.
+A text is cut before every single space that a non-space follows, and around a
+single newline between non-spaces.  Such cuts never change what a byte-level
+pre-tokenizer does (the space always belongs to the word after it, the newline is
+alone), so a unit's ids can be kept and reused.  Texts that hold an added token's
+string, and tokenizers of another kind, go through whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import chain
 from pathlib import Path
 
 #: Units kept per Python worker; the cache starts afresh beyond it.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_600_000
 #: Characters handed to the library at once.
 BATCH_CHARS = 4_000_000
 
@@ -45,25 +46,42 @@ class CachedEncoder:
         plain = spec.get("normalizer") is None and spec.get("post_processor") is None
         self.cuttable = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.newline, *stops = self._whole(["\n", ".", ","])
+        self.stops = dict(zip(".,", stops, strict=True))
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = list(units.difference(known))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+    def _learn(self, units: Iterable[str], known: dict[str, bytes], lead: str) -> None:
+        """Add the ids of new units.  A stop or comma after a letter is a token of
+        its own, so such units are put together from the word's ids."""
+        new = set(units).difference(known)
+        ended = {u: u[:-1] for u in new if u[-1:] in self.stops and u[-2:-1].isalpha()}
+        new.difference_update(ended)
+        new.update(w for w in ended.values() if w not in known)
+        fresh = list(new)
+        for i in range(0, len(fresh), 50_000):
+            part = fresh[i : i + 50_000]
             known.update(zip(part, self._whole([lead + u for u in part]), strict=True))
+        for unit, word in ended.items():
+            known[unit] = known[word] + self.stops[unit[-1]]
+
+    def _units(self, text: str) -> list[list[str]]:
+        """Units by line; single newlines between non-spaces are cuts as well."""
+        lines = text.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            lines = [text]
+        return [_CUT.split(x) for x in lines]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, list[list[str]]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
             if self.cuttable and not any(a in text for a in self.added):
-                cut.append((i, _CUT.split(text)))
+                cut.append((i, self._units(text)))
             else:
                 whole.append(i)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
@@ -71,12 +89,12 @@ class CachedEncoder:
         if len(self.rest) + len(self.first) > CACHE_UNITS:
             self.first.clear()
             self.rest.clear()
-        heads = [units.pop(0) for _, units in cut]
-        self._learn(set(heads), self.first, "")
-        self._learn(set(chain.from_iterable(u for _, u in cut)), self.rest, " ")
-        rest = self.rest.__getitem__
-        for (i, units), head in zip(cut, heads, strict=True):
-            out[i] = self.first[head] + b"".join(map(rest, units))
+        heads = [[line.pop(0) for line in lines] for _, lines in cut]
+        self._learn(chain.from_iterable(heads), self.first, "")
+        self._learn(chain.from_iterable(line for _, lines in cut for line in lines), self.rest, " ")
+        first, rest = self.first, self.rest.__getitem__
+        for (i, lines), own in zip(cut, heads, strict=True):
+            out[i] = self.newline.join([first[head] + b"".join(map(rest, line)) for head, line in zip(own, lines, strict=True)])
         return out
 
     def encode_stream(self, texts: Iterable[str]) -> Iterator[bytes]:
