@@ -175,8 +175,8 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _described(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, hi, lo, keys, sketch of every row; hi and lo are the set's digest."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    """doc_id, text_key, n, hi, lo, keys, sketch of every row; hi and lo are the set's digest."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +195,9 @@ def _described(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                 lo.append(low)
                 keys.append(block_keys(s, percent).view(np.int64))
                 sketches.append(sketch(s, sketch_bits(len(s))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _bucket_edges(keys: DataFrame) -> DataFrame:
@@ -272,6 +272,11 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     Rows link when 100 * |intersection| >= percent * |union| of their sets; the
     component is the smallest id that links reach.
     """
+    return _classes(docs, width, percent, id_col, text_col).drop("text_key")
+
+
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The classes, with the hash that tells apart rows of one id (or none)."""
     described = materialize(_described(docs, width, percent, id_col, text_col), "jaccard-docs")
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))
     grouped = described.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min_by(F.struct("doc_id", "keys", "sketch"), first).alias("x"))
@@ -297,8 +302,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     named = sets.select("hi", "lo", "n", "rep", "sid").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = materialize(named.join(least, "component").select("hi", "lo", "n", "component_id"), "jaccard-labels")
-    full = described.filter("n > 0").select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = described.filter("n > 0").select("doc_id", "text_key", "n", "hi", "lo").join(labels, ["hi", "lo", "n"]).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(described.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _texts_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -337,6 +342,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Rows of one class that repeat the smallest id all stay; exact duplicates are
     another operator's.
     """
-    classes = near_duplicate_classes(docs, width, percent, id_col, text_col)
-    gone = classes.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    classes = _classes(docs, width, percent, id_col, text_col)
+    gone = classes.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__gone_text"]), "left_anti")
