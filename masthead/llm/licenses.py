@@ -14,6 +14,7 @@ repeated rows give repeated matches; other columns are not carried.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from functools import cache
@@ -105,14 +106,34 @@ def known() -> list[tuple[str, str]]:
     return sorted(found.items())
 
 
+@cache
+def markers() -> list[str]:
+    """Words of which every known text has at least one, and that no rewrite makes or changes.
+
+    A text that lacks them all in lower case can't have a known digest, so it needs
+    no normalising.  Chosen greedily: the word that covers the most texts first.
+    """
+    texts = {canonical(t) for of in TEXTS.values() for t in of}
+    texts |= {canonical(f"{o} {n}") for o, forms in product(OPENINGS, NAMES.values()) for n in forms}
+    made = " ".join(to for _, to in REWRITES) + " licence reserved rights organisation acknowledgement owner"
+    left, chosen = {t: {w for w in t.split() if len(w) >= 5 and w.isalpha() and w not in made and not any(m in w for m in ("licen", "favo", "commercial"))} for t in texts}, []
+    while left:
+        best = min({w for words in left.values() for w in words}, key=lambda w: (-sum(w in words for words in left.values()), w))
+        chosen.append(best)
+        left = {t: words for t, words in left.items() if best not in words}
+    return chosen
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, unit, line_no, license_id and digest of each match."""
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(known(), "digest string, license_id string"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = lambda: functools.reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(m)) for m in markers()])
+    rows = rows.filter(marked())
     whole = rows.select("doc_id", F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line_no"), "text")
     lines = F.split("text", "\n")
-    each = rows.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.lit("line").alias("unit"), F.posexplode(lines).alias("line_no", "text"))
+    each = rows.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.lit("line").alias("unit"), F.posexplode(lines).alias("line_no", "text")).filter(marked())
     units = whole.unionByName(each).select("doc_id", "unit", "line_no", F.sha2(canonical_column(F.col("text")), 256).alias("digest"))
     return units.join(table, "digest").select("doc_id", "unit", "line_no", "license_id", "digest")
 
