@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 BLOCK_SAMPLES = 1152
 SAMPLE_RATE = 8000
 #: Samples that are coded side by side; bounds a worker's memory.
-BATCH_SAMPLES = 2_000_000
+BATCH_SAMPLES = 400_000
 _SEEK = struct.Struct(">QQH")
 
 
@@ -401,16 +402,14 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _in_batches(values: list[bytes], work) -> Iterator:
-    held, size = [], 0
-    for v in values:
-        held.append(v)
-        size += len(v)
-        if size >= BATCH_SAMPLES:
-            yield from work(held)
-            held, size = [], 0
-    if held:
-        yield from work(held)
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows of about ``BATCH_SAMPLES`` bytes of a column."""
+    for batch in batches:
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        chunk = (np.cumsum(sizes) - sizes) // BATCH_SAMPLES
+        cuts = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(sizes)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(lo, hi - lo)
 
 
 def payload(text: str, pad: int = 64) -> bytes:
@@ -423,9 +422,9 @@ def text_to_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            media = list(_in_batches([payload(t, pad) for t in texts], encode_many))
+            media = encode_many([payload(t, pad) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
@@ -436,9 +435,9 @@ def flac_to_pcm(media: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), T.StructField("block", T.IntegerType()), T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "media"):
             ids, numbers, offsets, blocks = [], [], [], []
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), _in_batches(batch.column("media").to_pylist(), decode_many), strict=True):
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), decode_many(batch.column("media").to_pylist()), strict=True):
                 for j, a in enumerate(range(0, len(x), block)):
                     ids.append(doc_id)
                     numbers.append(j)
@@ -460,10 +459,10 @@ def media_digests(media: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType)] + [T.StructField(a, b) for a, b in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "media"):
             streams = batch.column("media").to_pylist()
             rows: list[list] = [[] for _ in range(6)]
-            for stream, x in zip(streams, _in_batches(streams, decode_many), strict=True):
+            for stream, x in zip(streams, decode_many(streams), strict=True):
                 data = (x.view(np.uint8) ^ 0x80).tobytes()
                 for column, value in zip(rows, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(x)), strict=True):
                     column.append(value)
