@@ -17,7 +17,7 @@ from masthead.functions import phonetic as ph
 from masthead.functions import rules, text
 from masthead.functions import similarity as sim
 from masthead.operators import compound, evaluate, lexicon, registry, search, suggest
-from masthead.plans import screen
+from masthead.plans import apply, screen
 from masthead.sources import tables
 from masthead.streaming import locks
 
@@ -486,8 +486,42 @@ def top_matches(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ decisions and reports
 
 
-def _shown_percent(x: Column) -> Column:
-    return F.round(F.when(x <= 1, x * 100).otherwise(x))
+@query("SELECT p_partkey, CASE WHEN p_size <= 1 THEN p_size * 100 ELSE p_size END::INTEGER AS percent, CASE WHEN p_size * 2 >= 70 THEN 'high' WHEN p_size * 2 >= 40 THEN 'medium' ELSE 'low' END AS band, p_size < 20 OR p_type LIKE '%BRASS%' AS failed FROM part")
+def display_bands(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    status = F.when(F.col("p_type").contains("BRASS"), "Rejected").otherwise("Approved")
+    return p.select("p_partkey", apply.shown_percent(F.col("p_size").cast("double")).alias("percent"), apply.band(F.col("p_size") * 2).alias("band"), apply.failed_badge(F.col("p_size") * 2, status).alias("failed"))
+
+
+@query("SELECT o_orderstatus AS status, o_totalprice < 40000 AND o_orderstatus = 'F' AS turned_away, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def application_gate(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderstatus", (F.col("o_totalprice") / 1000).alias("p"))
+    gone = apply.turned_away(F.col("p"), F.when(F.col("o_orderstatus") == "F", "Rejected").otherwise("Approved"))
+    return o.groupBy(F.col("o_orderstatus").alias("status"), gone.alias("turned_away")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS bound, count(*)::BIGINT AS n, count_if(CASE WHEN value > 50 THEN value >= 60 ELSE value <= 40 END)::BIGINT AS met FROM events GROUP BY 1")
+def expectation_check(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    none, high = F.lit(None).cast("double"), F.col("value") > 50
+    ok = evaluate.met(F.col("value"), none, F.when(high, 60.0), F.when(~high, 40.0), F.lit("x"), F.lit(None).cast("string"))
+    return e.groupBy(F.when(high, "high").otherwise("low").alias("bound")).agg(F.count("*").alias("n"), F.count_if(ok).alias("met"))
+
+
+@query(f"WITH {NAMES} SELECT 'title_lock:' || name AS key FROM names")
+def lock_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return names(spark, sf).select(apply.lock_key(text.clean_text(F.col("name"))).alias("key"))
+
+
+@query(f"WITH {_CONCEPTS}, w AS (SELECT DISTINCT concept, word FROM entries) SELECT concept, array_to_string(list_sort(list(word)), ' ') AS words FROM w GROUP BY concept")
+def lexicon_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.concept_words(lexicon.sample_lexicon(spark)).select("concept", F.array_join("words", " ").alias("words"))
+
+
+@query("SELECT s_name, count(*)::BIGINT AS n FROM supplier GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT p_brand, count(*) FROM part GROUP BY 1 HAVING count(*) > 1")
+def repeated_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").select(F.col("s_name").alias("registration_no")).unionByName(table(spark, sf, "part").select(F.col("p_brand").alias("registration_no")))
+    return tables.repeated_numbers(rows).select(F.col("registration_no").alias("s_name"), F.col("count").alias("n"))
 
 
 @query(f"""WITH {NAMES}, s AS (SELECT 100 - round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 1) AS p FROM pairs)
@@ -581,6 +615,14 @@ def screen_seed_registry(spark: SparkSession, sf: str) -> DataFrame:
     return screen.screen(fixture_titles(spark).select(F.col("id").alias("query_id"), "title"), index).select("query_id", "title", "decision", "status", "verification_probability")
 
 
+@query()
+def apply_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    index = screen.build_index(tables.load_registry(spark))
+    rows = fixture_titles(spark).select(F.col("id").alias("query_id"), "title", F.lit("a").alias("applicant_id"), F.lit(0.0).alias("at"))
+    again = fixture_titles(spark).select((F.col("id") + 1000).alias("query_id"), "title", F.lit("b").alias("applicant_id"), F.lit(30.0).alias("at"))
+    return apply.apply_titles(rows.unionByName(again), index)[0].select("query_id", "title", "decision", "result")
+
+
 @query()
 def export_batch(spark: SparkSession, sf: str) -> DataFrame:
     index = screen.build_index(tables.load_registry(spark))

@@ -3,7 +3,7 @@
 import pytest
 
 from masthead.operators import search, suggest
-from masthead.plans import screen
+from masthead.plans import apply, screen
 from masthead.sources import tables
 from masthead.streaming import locks
 
@@ -44,6 +44,15 @@ def test_lock_collision(spark, index):
     assert got[0].decision == "REJECTED_PENDING_COLLISION" and got[1].decision != "REJECTED_PENDING_COLLISION"
 
 
+def test_apply(spark, index):
+    rows = [(1, "Aurora Nebula Flora", "x", 0.0), (2, "Aurora Nebula Flora", "y", 10.0), (3, "Aurora Nebula Flora", "y", 700.0), (4, "News+", "x", 0.0)]
+    out, asked = apply.apply_titles(spark.createDataFrame(rows, "query_id int, title string, applicant_id string, at double"), index)
+    assert {r.query_id: r.result for r in out.collect()} == {1: "ACCEPTED", 2: "LOCKED_BY_OTHER", 3: "ACCEPTED", 4: "TURNED_AWAY"}
+    assert asked.count() == 3
+    row = apply.health(index, locks.active(locks.replay(asked), 5.0)).first()
+    assert (row.status, row.registered_titles, row.active_locks) == ("healthy", 31, 1)
+
+
 def test_batch(spark, index):
     rows = spark.createDataFrame([(0, "News+"), (1, "2024"), (2, "Mumbai Police Chronicle"), (3, "The Daily News"), (4, "Aurora Nebula Flora"), (5, " ")], "query_id int, title string")
     _, counts = screen.screen_batch(rows, index)
