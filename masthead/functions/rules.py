@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from masthead.functions.text import SPACE, WORD, non_generic, protected_normal
+from masthead.functions.text import SPACE, WORD, protected_normal
 from masthead.vocab import ACRONYMS, CONSONANTS, EMBLEM_TERMS, ENFORCEMENT_TERMS, INVALID_BIGRAMS, INVALID_ENDINGS, OBSCENE_TOKENS, PROHIBITED_CHARACTERS, PROTECTED_NAMES, VOWELS
 
 _ESCAPED = "".join("\\" + c if c in r"\[]^-&" else c for c in PROHIBITED_CHARACTERS)
@@ -105,4 +105,4 @@ def violations(cleaned: Column, toks: Column, anchor: Column) -> Column:
     return F.concat(own, listed("Prohibited Enforcement Word", ENFORCEMENT_TERMS), listed("Emblems and Names", EMBLEM_TERMS), coarse)
 
 
-__all__ = ["entropy", "first_gibberish", "gibberish_type", "is_blank", "non_generic", "phrases", "prohibited_symbols", "protected_name", "structure_error", "violations"]
+__all__ = ["entropy", "first_gibberish", "gibberish_type", "is_blank", "phrases", "prohibited_symbols", "protected_name", "structure_error", "violations"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from masthead.functions.phonetic import double_metaphone_udf, indic_soundex
 from masthead.functions.text import clean_text, index_anchor, padded_grams, tokens
+from masthead.scratch import fixed
 
 #: Words in a folded column name that claim a role, in order of trial (fixed values).
 ROLES = [("title", ("title",)), ("registration_no", ("reg",)), ("language", ("lang",)), ("state", ("state",)), ("periodicity", ("period",)), ("publisher", ("publisher", "owner"))]
@@ -48,6 +49,7 @@ def numbered(mapped: DataFrame, order: list[str], prefix: str = "REG/") -> DataF
     """
     spark = mapped.sparkSession
     dealt = mapped.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    dealt = fixed(dealt, "numbered")  # ranges come from a sample: they must not be drawn twice
     sizes = sorted(dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first")).collect())
     base, rows = 0, []
     for r in sizes:
