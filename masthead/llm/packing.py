@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masthead.llm.shared import materialize
-from masthead.llm.tokens import encoder
+from masthead.llm.tokens import CACHE_UNITS, encoder
 
 #: Pieces that a partition packs at once; bounds a worker's memory.
-CHUNK_PIECES = 50_000
+CHUNK_PIECES = 20_000
+#: Rows whose texts are taken out of an Arrow batch at once.
+SLICE_ROWS = 1_000
 #: Underfull bins that one task of a round packs.
 FAN = 2_000
 
@@ -78,17 +80,18 @@ def _merged(bins: list[dict], capacity: int, slack: int, last: bool) -> list[dic
     return out
 
 
-def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
+def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_units: int = CACHE_UNITS) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     slack: a bin with at most so much room left is closed where it is made.
+    cache_units: the bound of a worker's unit cache, for executors with less memory.
     """
     schema = _bin_schema(docs.schema[id_col].dataType)
     arrow = pa.schema([("size", pa.int32()), ("closed", pa.bool_())])
     end = int(end_id).to_bytes(4, "little")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pieces = encoder(definition), []
+        own, pieces = encoder(definition, cache_units), []
 
         def packed() -> pa.RecordBatch:
             bins = _merged(pieces, capacity, slack, False)
@@ -99,7 +102,9 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_i
         for batch in batches:
             if item_type is None:
                 item_type = pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_stream(batch.column("text").to_pylist()), strict=True):
+            doc_ids = batch.column("doc_id").to_pylist()
+            texts = (t for at in range(0, batch.num_rows, SLICE_ROWS) for t in batch.column("text").slice(at, SLICE_ROWS).to_pylist())
+            for doc_id, ids in zip(doc_ids, own.encode_stream(texts), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])

@@ -9,6 +9,7 @@ string, and tokenizers of another kind, go through whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -17,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
-#: Units kept per Python worker; the cache starts afresh beyond it.
+#: Units kept per Python worker (about 190 bytes each); the cache starts afresh beyond it.
 CACHE_UNITS = 1_600_000
 #: Characters handed to the library at once.
 BATCH_CHARS = 4_000_000
@@ -48,6 +49,7 @@ class CachedEncoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.newline, *stops = self._whole(["\n", ".", ","])
         self.stops = dict(zip(".,", stops, strict=True))
+        self.cache_units = CACHE_UNITS
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
@@ -76,6 +78,17 @@ class CachedEncoder:
         return [_CUT.split(x) for x in lines]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text.  The many short-lived lists hold no cycles, so the
+        collector, which would walk them again and again, rests meanwhile."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         cut: list[tuple[int, list[list[str]]]] = []
         whole: list[int] = []
@@ -86,7 +99,7 @@ class CachedEncoder:
                 whole.append(i)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.rest) + len(self.first) > CACHE_UNITS:
+        if len(self.rest) + len(self.first) > self.cache_units:
             self.first.clear()
             self.rest.clear()
         heads = [[line.pop(0) for line in lines] for _, lines in cut]
@@ -114,10 +127,11 @@ class CachedEncoder:
 _ENCODERS: dict[int, CachedEncoder] = {}
 
 
-def encoder(definition: str) -> CachedEncoder:
+def encoder(definition: str, cache_units: int = CACHE_UNITS) -> CachedEncoder:
     """This Python worker's encoder for a definition; tasks of a worker share it."""
     key = hash(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = CachedEncoder(definition)
+    _ENCODERS[key].cache_units = cache_units
     return _ENCODERS[key]
