@@ -50,17 +50,19 @@ def build(tokens: np.ndarray, lengths: list[int], ids: list, planes: int) -> byt
     out = [_HEAD.pack(MAGIC, 1, planes, n, len(ids), len(block)), block, np.asarray(lengths, "<u4").tobytes()]
     now = tokens
     for level in range(planes):
-        bits = (now >> (planes - 1 - level)).astype(np.uint8) & 1
-        ones = bits.view(bool)
-        packed = np.packbits(bits)
-        full = np.zeros(-(-n // RANK_BLOCK) * RANK_BLOCK, np.uint8)
-        full[:n] = bits
-        counts = full.reshape(-1, RANK_BLOCK).sum(axis=1, dtype=np.uint32)
+        ones = (now & now.dtype.type(1 << (planes - 1 - level))) != 0
+        packed = np.packbits(ones)
+        full = np.zeros(-(-n // RANK_BLOCK) * RANK_BLOCK // 8, np.uint8)
+        full[: len(packed)] = packed
+        counts = np.bitwise_count(full.view(np.uint64)).reshape(-1, RANK_BLOCK // 64).sum(axis=1, dtype=np.uint32)
         before = np.zeros(len(counts), "<u4")
         np.cumsum(counts[:-1], out=before[1:])
-        low = now[~ones]
-        out += [struct.pack("<Q", len(low)), before.tobytes(), packed.tobytes()]
-        now = np.concatenate((low, now[ones]))
+        zeros = n - int(counts.sum())
+        out += [struct.pack("<Q", zeros), before.tobytes(), packed.tobytes()]
+        after = np.empty_like(now)
+        np.compress(~ones, now, out=after[:zeros])
+        np.compress(ones, now, out=after[zeros:])
+        now = after
     return b"".join(out)
 
 
@@ -152,12 +154,11 @@ class WaveletShard:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         value = np.zeros(self.n, kind)
         for level in reversed(range(self.planes)):
-            bits = np.unpackbits(self.bits[level], count=self.n)
-            ones = bits.view(bool)
+            bits, zeros = np.unpackbits(self.bits[level], count=self.n), self.zeros[level]
+            value[zeros:] |= kind(1 << (self.planes - 1 - level))
             wider = np.empty_like(value)
-            wider[~ones] = value[: self.zeros[level]]
-            wider[ones] = value[self.zeros[level] :]
-            wider |= bits.astype(kind) << kind(self.planes - 1 - level)
+            wider[np.flatnonzero(bits)] = value[zeros:]
+            wider[np.flatnonzero(bits == 0)] = value[:zeros]
             value = wider
         return value
 
