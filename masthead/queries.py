@@ -17,7 +17,9 @@ from masthead.functions import phonetic as ph
 from masthead.functions import rules, text
 from masthead.functions import similarity as sim
 from masthead.operators import compound, evaluate, lexicon, registry, search, suggest
+from masthead.operators.candidates import retrieve
 from masthead.plans import apply, screen
+from masthead.scratch import fixed
 from masthead.sources import tables
 from masthead.streaming import locks
 
@@ -309,11 +311,9 @@ def postings_grams_capped(spark: SparkSession, sf: str) -> DataFrame:
 def candidates_top100(spark: SparkSession, sf: str) -> DataFrame:
     index = screen.build_index(part_registry(spark, sf))
     subs = screen.prepared(names(spark, sf).select(F.xxhash64("name").alias("query_id"), F.concat("name", F.lit(" gazette")).alias("title")))
-    subs = subs.select("query_id", "cleaned_title", "tokens", "anchor_words", F.split("anchor_words", " ").alias("anchor_tokens"))
+    subs = fixed(subs.select("query_id", "cleaned_title", "tokens", "anchor_words", F.split("anchor_words", " ").alias("anchor_tokens")), "submissions")
     words = subs.select(F.explode("tokens").alias("word")).distinct().select(F.array("word").alias("tokens"))
-    from masthead.operators.candidates import retrieve
-
-    return retrieve(subs, index.postings, registry.token_dimension(words, index.concepts))
+    return retrieve(subs, index.postings, fixed(registry.token_dimension(words, index.concepts), "dimension"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS entry_id, p_name AS title, CASE WHEN p_name = 'green' THEN 1 WHEN starts_with(p_name, 'green') OR starts_with('REG/' || p_partkey, 'green') THEN 2 WHEN contains(p_name, 'green') THEN 1000 END AS tier FROM part),
