@@ -1,8 +1,10 @@
 """The registered queries of the screening engine and their SQL counterparts.
 
 Views: the registry is ``part`` (p_name as title), submissions are the titles of
-``pages``, pairs are all pairs of distinct part names, and FIXTURES are literal
-titles for rules whose words the generated tables lack.
+``pages``, and FIXTURES are literal titles for rules whose words the generated
+tables lack.  Pairs are all ordered pairs of distinct part names (``all_pairs``);
+the queries whose given SQL keeps only pairs with the same first letter follow that
+SQL (``name_pairs``) and have a whole counterpart with the ending ``_all``.
 """
 
 from __future__ import annotations
@@ -64,6 +66,15 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(f: Query) -> None:
+    """Register ``f`` over all pairs of names, with its SQL over the same."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf, all_pairs)
+
+    run.__name__ = f"{f.__name__}_all"
+    query(ORACLES[f.__name__].replace(NAMES, ALL_NAMES))(run)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -91,12 +102,19 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of names that share a first letter; a blocked join, not a cross join."""
+    """Pairs of names that share a first letter, as the SQL of NAMES has it; it loses matches."""
     a = names(spark, sf).select(F.col("name").alias("a"), F.substring("name", 1, 1).alias("k"))
     return a.join(a.select(F.col("a").alias("b"), "k"), "k").select("a", "b")
 
 
+def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs: the measures have no common block, and the names are a bounded dimension."""
+    a = names(spark, sf)
+    return a.select(F.col("name").alias("a")).crossJoin(a.select(F.col("name").alias("b")))
+
+
 NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON substr(x.name, 1, 1) = substr(y.name, 1, 1))"
+ALL_NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x CROSS JOIN names y)"
 TITLES = r"titles AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
 FIX = _values("fixtures", "id, title", list(enumerate(FIXTURES)))
 #: NFKD for letters whose mark comes off: the mark becomes a space.
@@ -338,42 +356,54 @@ def display_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM pairs")
-def levenshtein_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).select("a", "b", F.round(sim.levenshtein_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
+def levenshtein_similarity(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    return pairs(spark, sf).select("a", "b", F.round(sim.levenshtein_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+whole(levenshtein_similarity)
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM pairs")
-def jaro_winkler_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).select("a", "b", F.round(sim.jaro_winkler_udf("a", "b"), 6).alias("similarity"))
+def jaro_winkler_similarity(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    return pairs(spark, sf).select("a", "b", F.round(sim.jaro_winkler_udf("a", "b"), 6).alias("similarity"))
+
+
+whole(jaro_winkler_similarity)
 
 
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr('_' || {0} || '_', i, 3)))"
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(2 * len(list_intersect({_GRAMS.format('a')}, {_GRAMS.format('b')})) / (len({_GRAMS.format('a')}) + len({_GRAMS.format('b')})), 6) AS similarity FROM pairs")
-def dice_trigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).select("a", "b", F.round(sim.dice(F.col("a"), F.col("b")), 6).alias("similarity"))
+def dice_trigrams(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    return pairs(spark, sf).select("a", "b", F.round(sim.dice(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+whole(dice_trigrams)
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 6) AS similarity FROM pairs")
-def token_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).select("a", "b", F.round(sim.token_jaccard(F.split("a", " "), F.split("b", " ")), 6).alias("similarity"))
+def token_jaccard(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    return pairs(spark, sf).select("a", "b", F.round(sim.token_jaccard(F.split("a", " "), F.split("b", " ")), 6).alias("similarity"))
+
+
+whole(token_jaccard)
 
 
 @query()
 def token_sort_ratio(spark: SparkSession, sf: str) -> DataFrame:
     ordered = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    return name_pairs(spark, sf).select("a", "b", F.round(sim.indel_ratio_udf(ordered("a"), ordered("b")), 6).alias("ratio"))
+    return all_pairs(spark, sf).select("a", "b", F.round(sim.indel_ratio_udf(ordered("a"), ordered("b")), 6).alias("ratio"))
 
 
 @query()
 def orthographic_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).withColumn("s", sim.orthographic_udf("a", "b")).select("a", "b", "s.*")
+    return all_pairs(spark, sf).withColumn("s", sim.orthographic_udf("a", "b")).select("a", "b", "s.*")
 
 
 @query()
 def phonetic_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return name_pairs(spark, sf).select("a", "b", sim.phonetic_udf("a", "b").alias("similarity"))
+    return all_pairs(spark, sf).select("a", "b", sim.phonetic_udf("a", "b").alias("similarity"))
 
 
 _INDIC = "lower(trim(w))"
@@ -416,20 +446,32 @@ def hash_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(spark.range(1).select(F.lit("CONCEPT:daily").alias("word"), sim.hash_bucket(F.lit("CONCEPT:daily")).alias("bucket")))
 
 
+def _hash_units(spark: SparkSession, sf: str) -> DataFrame:
+    toks = F.split("name", " ")
+    feats = names(spark, sf).select("name", F.explode(sim.vector_features(toks, F.transform(toks, lambda t: F.lit(None).cast("string")))).alias("x"))
+    buckets = feats.groupBy("name", sim.hash_bucket(F.col("x.feature")).alias("k")).agg(F.sum("x.weight").alias("w"))
+    return buckets.join(buckets.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "name").select("name", "k", (F.col("w") / F.col("norm")).alias("w"))
+
+
 @query(f"""WITH {NAMES}, feats AS (SELECT name, 'WORD:' || unnest(string_split(name, ' ')) AS f, 1.0 AS w FROM names UNION ALL SELECT name, 'GRAM:' || substr('_' || t || '_', i, 3), 0.3 FROM (SELECT name, unnest(string_split(name, ' ')) AS t FROM names), unnest(range(1, length(t) + 1)) AS u(i)),
 buckets AS (SELECT name, ('0x' || substr(sha256(f), 1, 8))::BIGINT % 2048 AS k, sum(w)::DOUBLE AS w FROM feats GROUP BY ALL), norms AS (SELECT name, sqrt(sum(w * w)) AS n FROM buckets GROUP BY name),
 dots AS (SELECT x.name AS a, y.name AS b, sum(x.w * y.w) AS d FROM buckets x JOIN buckets y USING (k) GROUP BY ALL)
 SELECT a, b, round(d / p.n / q.n, 4) AS cosine FROM dots JOIN norms p ON p.name = a JOIN norms q ON q.name = b WHERE substr(a, 1, 1) = substr(b, 1, 1)""")
 def hash_vector_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    toks = F.split("name", " ")
-    feats = names(spark, sf).select("name", F.explode(sim.vector_features(toks, F.transform(toks, lambda t: F.lit(None).cast("string")))).alias("x"))
-    buckets = feats.groupBy("name", sim.hash_bucket(F.col("x.feature")).alias("k")).agg(F.sum("x.weight").alias("w"))
-    unit = buckets.join(buckets.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "name").select("name", "k", (F.col("w") / F.col("norm")).alias("w"))
-    block = F.substring("name", 1, 1)
+    unit, block = _hash_units(spark, sf), F.substring("name", 1, 1)
     left, right = unit.select(F.col("name").alias("a"), "k", F.col("w").alias("x"), block.alias("g")), unit.select(F.col("name").alias("b"), "k", F.col("w").alias("y"), block.alias("g"))
     return left.join(right, ["g", "k"]).groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("cosine"))
 
 
+@query(ORACLES["hash_vector_cosine"].replace(NAMES, ALL_NAMES).split("\nSELECT a, b, round")[0] + "\nSELECT a, b, round(coalesce(d / p.n / q.n, 0), 4) AS cosine FROM pairs JOIN norms p ON p.name = a JOIN norms q ON q.name = b LEFT JOIN dots USING (a, b)")
+def hash_vector_cosine_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs; those without a common bucket have 0."""
+    unit = _hash_units(spark, sf)
+    met = unit.select(F.col("name").alias("a"), "k", F.col("w").alias("x")).join(unit.select(F.col("name").alias("b"), "k", F.col("w").alias("y")), "k")
+    dots = met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    return all_pairs(spark, sf).join(dots, ["a", "b"], "left").select("a", "b", F.round(F.coalesce("d", F.lit(0.0)), 4).alias("cosine"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 4) AS cosine FROM q, embeddings""")
 def embedding_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,11 +520,14 @@ def semantic_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {NAMES}, s AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS v FROM pairs WHERE a <> b), r AS (SELECT a, b, v, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS place FROM s)
 SELECT a, b, place::INTEGER AS place, round(v, 6) AS similarity FROM r WHERE place <= 5""")
-def top_matches(spark: SparkSession, sf: str) -> DataFrame:
-    s = name_pairs(spark, sf).filter("a <> b").withColumn("v", sim.levenshtein_sim(F.col("a"), F.col("b")))
+def top_matches(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    s = pairs(spark, sf).filter("a <> b").withColumn("v", sim.levenshtein_sim(F.col("a"), F.col("b")))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).filter("place <= 5").select("a", "b", "place", F.round("v", 6).alias("similarity"))
 
 
+whole(top_matches)
+
+
 # ------------------------------------------------------------------ decisions and reports
 
 
@@ -526,18 +571,24 @@ def repeated_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {NAMES}, s AS (SELECT 100 - round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 1) AS p FROM pairs)
 SELECT CASE WHEN p >= 70 THEN 'high' WHEN p >= 40 THEN 'medium' ELSE 'low' END AS band, count(*)::BIGINT AS n FROM s GROUP BY 1""")
-def status_bands(spark: SparkSession, sf: str) -> DataFrame:
-    p = name_pairs(spark, sf).select(F.greatest(F.lit(0.0), 100 - F.round(100 * sim.levenshtein_sim(F.col("a"), F.col("b")), 1)).alias("p"))
+def status_bands(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    p = pairs(spark, sf).select(F.greatest(F.lit(0.0), 100 - F.round(100 * sim.levenshtein_sim(F.col("a"), F.col("b")), 1)).alias("p"))
     return p.groupBy(F.when(F.col("p") >= 70, "high").when(F.col("p") >= 40, "medium").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
 
 
+whole(status_bands)
+
+
 @query(f"""WITH {NAMES}, s AS (SELECT 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS v FROM pairs)
 SELECT count(*)::BIGINT AS total, count_if(v < 0.45)::BIGINT AS approved, count_if(v >= 0.65)::BIGINT AS rejected, count_if(v >= 0.45 AND v < 0.65)::BIGINT AS review_needed FROM s""")
-def batch_counts(spark: SparkSession, sf: str) -> DataFrame:
-    v = name_pairs(spark, sf).select(sim.levenshtein_sim(F.col("a"), F.col("b")).alias("v"))
+def batch_counts(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
+    v = pairs(spark, sf).select(sim.levenshtein_sim(F.col("a"), F.col("b")).alias("v"))
     return screen.batch_summary(v.select(F.when(F.col("v") >= sim.REJECT, "Rejected").when(F.col("v") >= sim.REVIEW, "Review Needed").otherwise("Approved").alias("status")))
 
 
+whole(batch_counts)
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def percentile_latency(spark: SparkSession, sf: str) -> DataFrame:
     out = evaluate.latency(table(spark, sf, "events"), "event_type", "value")
