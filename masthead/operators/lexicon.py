@@ -1,4 +1,4 @@
-"""The concept lexicon: a parameter, with a short one for tests and examples.
+"""The concept lexicon: a parameter, by default the whole one of ``masthead.concepts``.
 
 A lexicon is a table (concept, language, word, ord).  ``load_lexicon`` reads a
 JSON list of ``{concept, category, language_variants: {language: [words]}}``.
@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A short lexicon (fixed values); larger ones are read from a file.
+from masthead.concepts import LEXICON
+
+#: A short lexicon (fixed values) for the queries whose given SQL holds its words.
 SAMPLE = [
     ("daily", {"en": ["daily", "dailies"], "hi": ["dainik", "rozana", "roznama"], "bn": ["pratidin", "dainik"]}),
     ("morning", {"en": ["morning", "mornings"], "hi": ["prabhat", "subah"], "bn": ["prabhat", "bhor", "sakal"], "or": ["sakala"]}),
@@ -51,6 +53,12 @@ def sample_lexicon(spark: SparkSession) -> DataFrame:
     return _words(spark.createDataFrame(rows, "ord int, concept string, variants map<string,array<string>>"))
 
 
+def default_lexicon(spark: SparkSession) -> DataFrame:
+    """All concepts, flat: a map column would not keep the order of its languages."""
+    rows = [(c, lang, w.lower(), (i, j, k)) for i, (c, _, v) in enumerate(LEXICON) for j, (lang, ws) in enumerate(v.items()) for k, w in enumerate(ws)]
+    return spark.createDataFrame(rows, "concept string, language string, word string, ord struct<ord:int,l:int,w:int>")
+
+
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("multiLine", True).schema("concept string, category string, language_variants map<string,array<string>>").json(path)
     return _words(raw.select(F.monotonically_increasing_id().alias("ord"), "concept", F.col("language_variants").alias("variants")))

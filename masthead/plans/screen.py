@@ -12,7 +12,7 @@ from masthead.functions.similarity import ORTHOGRAPHIC, PHONETIC, REJECT, REVIEW
 from masthead.functions.text import anchor_parts, clean_text, is_generic_only, tokens
 from masthead.operators.candidates import LIMIT, retrieve
 from masthead.operators.compound import compound_titles
-from masthead.operators.lexicon import concept_map, sample_lexicon, word_concepts
+from masthead.operators.lexicon import concept_map, default_lexicon, word_concepts
 from masthead.operators.registry import build_postings, exact_index, title_parts, token_dimension
 from masthead.scratch import fixed
 
@@ -33,7 +33,7 @@ class Index:
 
 def build_index(registry: DataFrame, lexicon: DataFrame | None = None) -> Index:
     """Derive all tables once and write them; screening runs read them."""
-    lexicon = lexicon if lexicon is not None else sample_lexicon(registry.sparkSession)
+    lexicon = lexicon if lexicon is not None else default_lexicon(registry.sparkSession)
     concepts = fixed(word_concepts(lexicon), "concepts")
     registry = fixed(registry, "registry")
     postings = build_postings(registry, token_dimension(registry, concepts))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from masthead import vocab
+from masthead.concepts import LEXICON
 from masthead.functions import phonetic as ph
 from masthead.functions import rules, text
 from masthead.functions import similarity as sim
@@ -26,6 +27,7 @@ from masthead.sources import tables
 from masthead.streaming import locks
 
 Query = Callable[[SparkSession, str], DataFrame]
+Lexicon = Callable[[SparkSession], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,6 +77,15 @@ def whole(f: Query) -> None:
     query(ORACLES[f.__name__].replace(NAMES, ALL_NAMES))(run)
 
 
+def full(f: Query) -> None:
+    """Register ``f`` with the whole lexicon, with its SQL over the same."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf, lexicon.default_lexicon)
+
+    run.__name__ = f"{f.__name__}_all"
+    query(ORACLES[f.__name__].replace(_LEXICON, _FULL_LEXICON))(run)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -316,7 +327,7 @@ def postings_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
     reg = part_registry(spark, sf)
-    return registry.build_postings(reg, registry.token_dimension(reg, lexicon.word_concepts(lexicon.sample_lexicon(spark))))
+    return registry.build_postings(reg, registry.token_dimension(reg, lexicon.word_concepts(lexicon.default_lexicon(spark))))
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS entry_id, coalesce(nullif({_PART_ANCHOR}, ''), p_name) AS name FROM part), g AS (SELECT entry_id, i AS pos, substr('_' || name || '_', i, 3) AS key FROM t, unnest(range(1, length(name) + 1)) AS u(i)),
@@ -484,12 +495,13 @@ def embedding_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LEXICON = _values("entries", "word, concept, language, ord", [(w, c, lang, i) for i, (w, c, lang) in enumerate((w, c, lang) for c, v in lexicon.SAMPLE for lang, ws in v.items() for w in ws)])
+_FULL_LEXICON = _values("entries", "word, concept, language, ord", [(w, c, lang, i) for i, (w, c, lang) in enumerate((w, c, lang) for c, _, v in LEXICON for lang, ws in v.items() for w in ws)])
 _CONCEPTS = f"{_LEXICON}, concepts AS (SELECT word, arg_max(concept, ord) AS concept, arg_max(language, ord) AS language FROM entries GROUP BY word)"
 
 
 @query(f"WITH {_CONCEPTS} SELECT word, concept, language FROM concepts")
-def lexicon_words(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.word_concepts(lexicon.sample_lexicon(spark)).select("word", "concept", "language")
+def lexicon_words(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
+    return lexicon.word_concepts(of(spark)).select("word", "concept", "language")
 
 
 _PAIRS = _values("fp", "id, a, b", [(i, *p) for i, p in enumerate(PAIRS)])
@@ -499,8 +511,8 @@ _PAIRS = _values("fp", "id, a, b", [(i, *p) for i, p in enumerate(PAIRS)])
 ca AS (SELECT id, concept, count(*) AS k FROM (SELECT id, unnest({SPLIT.format('a')}) AS word FROM fp) JOIN concepts USING (word) GROUP BY ALL), cb AS (SELECT id, concept, count(*) AS k FROM (SELECT id, unnest({SPLIT.format('b')}) AS word FROM fp) JOIN concepts USING (word) GROUP BY ALL),
 hits AS (SELECT id, sum(least(ca.k, cb.k)) AS h FROM ca JOIN cb USING (id, concept) GROUP BY id)
 SELECT id::BIGINT AS id, CASE WHEN n = 0 OR m = 0 OR h IS NULL THEN 0.0 WHEN h >= least(n, m) THEN greatest(0.9, round(h / greatest(n, m), 4)) ELSE round(h / greatest(n, m), 4) END::DOUBLE AS lexicon FROM sized LEFT JOIN hits USING (id)""")
-def lexicon_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    concepts = lexicon.word_concepts(lexicon.sample_lexicon(spark)).select("word", "concept")
+def lexicon_similarity(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
+    concepts = lexicon.word_concepts(of(spark)).select("word", "concept")
     pairs = fixture_pairs(spark).withColumns({"x": text.scorer_tokens(F.col("a")), "y": text.scorer_tokens(F.col("b"))})
 
     def counted(side: str, n: str) -> DataFrame:
@@ -514,7 +526,7 @@ def lexicon_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def semantic_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    score = sim.semantic_udf(lexicon.concept_map(lexicon.sample_lexicon(spark)))
+    score = sim.semantic_udf(lexicon.concept_map(lexicon.default_lexicon(spark)))
     return fixture_pairs(spark).withColumn("s", score("a", "b")).select("id", "s.*")
 
 
@@ -559,8 +571,19 @@ def lock_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {_CONCEPTS}, w AS (SELECT DISTINCT concept, word FROM entries) SELECT concept, array_to_string(list_sort(list(word)), ' ') AS words FROM w GROUP BY concept")
-def lexicon_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.concept_words(lexicon.sample_lexicon(spark)).select("concept", F.array_join("words", " ").alias("words"))
+def lexicon_concepts(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
+    return lexicon.concept_words(of(spark)).select("concept", F.array_join("words", " ").alias("words"))
+
+
+for _f in (lexicon_words, lexicon_similarity, lexicon_concepts):
+    full(_f)
+
+
+@query("WITH v(vocabulary, n) AS (VALUES ('concepts', 26), ('entries', 724), ('words', 417), ('languages', 12)) SELECT vocabulary, n::BIGINT AS n FROM v")
+def lexicon_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexicon's counts; the given SQL of ``vocabulary_sizes`` has no rows for them."""
+    n = lexicon.default_lexicon(spark).agg(F.count_distinct("concept").alias("concepts"), F.count("*").alias("entries"), F.count_distinct("word").alias("words"), F.count_distinct("language").alias("languages"))
+    return n.unpivot([], n.columns, "vocabulary", "n")
 
 
 @query("SELECT s_name, count(*)::BIGINT AS n FROM supplier GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT p_brand, count(*) FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from masthead import queries as screening
+from masthead.operators import lexicon
+from masthead.plans import screen
 
 SF = "/root/testdata/sf0.001"
 PAIRED = ["levenshtein_similarity_all", "jaro_winkler_similarity_all", "dice_trigrams_all", "token_jaccard_all", "hash_vector_cosine_all", "token_sort_ratio", "orthographic_aggregate", "phonetic_pairs"]
@@ -38,3 +40,17 @@ def test_top_matches_are_the_nearest_of_all_names(spark):
 def test_counts_of_all_pairs(spark):
     n = screening.names(spark, SF).count()
     assert sum(r.n for r in run(spark, "status_bands_all").collect()) == n * n == run(spark, "batch_counts_all").first().total
+
+
+def test_default_lexicon_is_whole(spark):
+    assert {r.vocabulary: r.n for r in run(spark, "lexicon_sizes").collect()} == {"concepts": 26, "entries": 724, "words": 417, "languages": 12}
+    of = lexicon.concept_map(lexicon.default_lexicon(spark))
+    assert (of["masika"], of["oli"], of["lokam"]) == ("journal", "light", "world")
+    assert {"national", "chronicle", "revolution", "victory"} <= set(of.values())
+
+
+def test_index_has_the_whole_lexicon(spark):
+    titles = spark.createDataFrame([(1, "Viduthalai Kural", "1")], "entry_id int, title string, registration_no string")
+    rows = titles.selectExpr("*", "'Tamil' AS language", "'National' AS state", "'Daily' AS periodicity", "'x' AS publisher")
+    index = screen.build_index(screening.registry.build_registry(rows))
+    assert len(index.concept_of) == 417 and index.concepts.count() == 417
