@@ -77,6 +77,15 @@ def whole(f: Query) -> None:
     query(ORACLES[f.__name__].replace(NAMES, ALL_NAMES))(run)
 
 
+def over_all_titles(f: Query) -> None:
+    """Register ``f`` over all titles, with its SQL over the same."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf, all_titles)
+
+    run.__name__ = f"{f.__name__}_all"
+    query(ORACLES[f.__name__].replace(FIX, ALL_FIX))(run)
+
+
 def full(f: Query) -> None:
     """Register ``f`` with the whole lexicon, with its SQL over the same."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +103,11 @@ def fixture_titles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(FIXTURES)), "id long, title string")
 
 
+def some_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal titles alone, as the SQL of FIX has them."""
+    return fixture_titles(spark)
+
+
 def fixture_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "id long, a string, b string")
 
@@ -102,6 +116,13 @@ def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
+def all_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, title): fixtures below 0, titles of pages even, part names odd."""
+    pages = page_titles(spark, sf).select((F.col("page_id") * 2).cast("long").alias("id"), "title")
+    parts = table(spark, sf, "part").select((F.col("p_partkey") * 2 + 1).cast("long").alias("id"), F.col("p_name").alias("title"))
+    return fixture_titles(spark).select((-1 - F.col("id")).alias("id"), "title").unionByName(pages).unionByName(parts)
+
+
 def part_registry(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("title"), F.concat(F.lit("REG/"), F.col("p_partkey")).alias("registration_no"), F.lit("English").alias("language"), F.lit("National").alias("state"), F.col("p_type").alias("periodicity"), F.col("p_brand").alias("publisher"))
     return registry.build_registry(p)
@@ -128,6 +149,7 @@ NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x
 ALL_NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x CROSS JOIN names y)"
 TITLES = r"titles AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
 FIX = _values("fixtures", "id, title", list(enumerate(FIXTURES)))
+ALL_FIX = f"{TITLES}, {FIX.replace('fixtures(', 'literals(', 1)}, fixtures AS (SELECT -1 - id AS id, title FROM literals UNION ALL SELECT page_id * 2, title FROM titles UNION ALL SELECT p_partkey * 2 + 1, p_name FROM part)"
 #: NFKD for letters whose mark comes off: the mark becomes a space.
 DECOMPOSED = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN c <> '' AND strip_accents(c) <> c THEN strip_accents(c) || ' ' ELSE c END), '')"
 CLEAN = r"trim(regexp_replace(regexp_replace(lower(" + DECOMPOSED + r"), '[^\p{{L}}\p{{N}}_\s\p{{Z}}\-]', ' ', 'g'), '[\s\p{{Z}}\-]+', ' ', 'g'))"
@@ -163,8 +185,11 @@ def symbol_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"WITH {FIX} SELECT id::BIGINT AS id, trim(title) = '' AS blank, regexp_matches(title, '\p{{L}}') AS has_letter FROM fixtures")
-def numeric_check(spark: SparkSession, sf: str) -> DataFrame:
-    return fixture_titles(spark).select("id", rules.is_blank(F.col("title")).alias("blank"), F.col("title").rlike(r"\p{L}").alias("has_letter"))
+def numeric_check(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
+    return titles(spark, sf).select("id", rules.is_blank(F.col("title")).alias("blank"), F.col("title").rlike(r"\p{L}").alias("has_letter"))
+
+
+over_all_titles(numeric_check)
 
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}]', '', 'g')"
@@ -205,14 +230,20 @@ _ANCHOR = rf"""toks AS (SELECT id, {_tokens('title')} AS t FROM fixtures), led A
 
 
 @query(rf"""WITH {FIX}, {_ANCHOR} SELECT id::BIGINT AS id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, coalesce(array_to_string(kept, ' '), '') AS index_anchor FROM cored""")
-def anchor_extract(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixture_titles(spark).withColumn("t", text.tokens(text.clean_text(F.col("title"))))
+def anchor_extract(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
+    rows = titles(spark, sf).withColumn("t", text.tokens(text.clean_text(F.col("title"))))
     return rows.select("id", text.anchor_parts(F.col("t"))["anchor"].alias("anchor"), text.index_anchor(F.col("t")).alias("index_anchor"))
 
 
+over_all_titles(anchor_extract)
+
+
 @query(rf"WITH {FIX}, {_ANCHOR} SELECT id::BIGINT AS id, len(t) > 0 AND len(kept) = 0 AS generic_only FROM cored")
-def generic_only(spark: SparkSession, sf: str) -> DataFrame:
-    return fixture_titles(spark).select("id", text.is_generic_only(text.tokens(text.clean_text(F.col("title")))).alias("generic_only"))
+def generic_only(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
+    return titles(spark, sf).select("id", text.is_generic_only(text.tokens(text.clean_text(F.col("title")))).alias("generic_only"))
+
+
+over_all_titles(generic_only)
 
 
 _WORDS_OF = r"list_filter(list_transform(list_filter(string_split_regex(title, '[\s\p{Z}]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}_]+', ''), '[^\p{L}\p{N}_]+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^\p{Nd}+$'))"
@@ -255,14 +286,17 @@ _PROTECTED = _values("protected", "key, name, category", [(k, d, c) for c, of in
 
 @query(rf"""WITH {FIX}, {_PROTECTED}, {_ANCHOR}, a AS (SELECT id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, array_to_string(t, ' ') AS cleaned FROM cored)
 SELECT id::BIGINT AS id, coalesce(x.name, y.name) AS name, coalesce(x.category, y.category) AS category FROM a LEFT JOIN protected x ON x.key = cleaned LEFT JOIN protected y ON y.key = anchor WHERE coalesce(x.name, y.name) IS NOT NULL""")
-def protected_names(spark: SparkSession, sf: str) -> DataFrame:
-    rows = screen.prepared(fixture_titles(spark)).withColumn("p", rules.protected_name(F.col("cleaned_title"), F.col("anchor_words"))).filter("p is not null")
+def protected_names(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
+    rows = screen.prepared(titles(spark, sf)).withColumn("p", rules.protected_name(F.col("cleaned_title"), F.col("anchor_words"))).filter("p is not null")
     return rows.select("id", "p.name", "p.category")
 
 
+over_all_titles(protected_names)
+
+
 @query()
 def violation_lists(spark: SparkSession, sf: str) -> DataFrame:
-    rows = screen.prepared(fixture_titles(spark))
+    rows = screen.prepared(all_titles(spark, sf))
     return rows.select("id", F.to_json(rules.violations(F.col("cleaned_title"), F.col("tokens"), F.col("anchor_words"))).alias("violations"))
 
 
@@ -686,19 +720,20 @@ def screen_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def screen_seed_registry(spark: SparkSession, sf: str) -> DataFrame:
     index = screen.build_index(tables.load_registry(spark))
-    return screen.screen(fixture_titles(spark).select(F.col("id").alias("query_id"), "title"), index).select("query_id", "title", "decision", "status", "verification_probability")
+    return screen.screen(all_titles(spark, sf).select(F.col("id").alias("query_id"), "title"), index).select("query_id", "title", "decision", "status", "verification_probability")
 
 
 @query()
 def apply_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    index = screen.build_index(tables.load_registry(spark))
-    rows = fixture_titles(spark).select(F.col("id").alias("query_id"), "title", F.lit("a").alias("applicant_id"), F.lit(0.0).alias("at"))
-    again = fixture_titles(spark).select((F.col("id") + 1000).alias("query_id"), "title", F.lit("b").alias("applicant_id"), F.lit(30.0).alias("at"))
+    """Each title is asked for by two applicants, one after the other."""
+    index = screen.build_index(part_registry(spark, sf))
+    rows = all_titles(spark, sf).select((F.col("id") * 2).alias("query_id"), "title", F.lit("a").alias("applicant_id"), F.lit(0.0).alias("at"))
+    again = all_titles(spark, sf).select((F.col("id") * 2 + 1).alias("query_id"), "title", F.lit("b").alias("applicant_id"), F.lit(30.0).alias("at"))
     return apply.apply_titles(rows.unionByName(again), index)[0].select("query_id", "title", "decision", "result")
 
 
 @query()
 def export_batch(spark: SparkSession, sf: str) -> DataFrame:
-    index = screen.build_index(tables.load_registry(spark))
-    rows, _ = screen.screen_batch(fixture_titles(spark).select(F.col("id").alias("query_id"), "title"), index)
+    index = screen.build_index(part_registry(spark, sf))
+    rows, _ = screen.screen_batch(all_titles(spark, sf).select(F.col("id").alias("query_id"), "title"), index)
     return tables.export_rows(rows)

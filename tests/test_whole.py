@@ -54,3 +54,24 @@ def test_index_has_the_whole_lexicon(spark):
     rows = titles.selectExpr("*", "'Tamil' AS language", "'National' AS state", "'Daily' AS periodicity", "'x' AS publisher")
     index = screen.build_index(screening.registry.build_registry(rows))
     assert len(index.concept_of) == 417 and index.concepts.count() == 417
+
+
+@pytest.mark.parametrize("name", ["numeric_check_all", "anchor_extract_all", "generic_only_all", "violation_lists"])
+def test_all_titles(spark, name):
+    ids = {r.id for r in run(spark, name).select("id").collect()}
+    pages, parts = (screening.table(spark, SF, t).count() for t in ("pages", "part"))
+    assert len(ids) == run(spark, name).count() == len(screening.FIXTURES) + pages + parts
+
+
+def test_apply_and_export_at_size(spark):
+    titles = screening.all_titles(spark, SF)
+    n, blank = titles.count(), titles.filter("trim(title) = ''").count()
+    applied = run(spark, "apply_end_to_end").collect()
+    assert len(applied) == len({r.query_id for r in applied}) == 2 * n
+    parts = {2 * (2 * r.p_partkey + 1) for r in screening.table(spark, SF, "part").collect()}
+    mine = [r for r in applied if r.query_id in parts]
+    # a registered name with a word of gibberish meets that rule first
+    assert len(mine) == len(parts) and all(r.decision == "REJECTED_ALREADY_REGISTERED" or r.decision.endswith("GIBBERISH") for r in mine)
+    assert {r.result for r in mine} == {"TURNED_AWAY"}
+    assert run(spark, "export_batch").count() == n - blank
+    assert run(spark, "screen_seed_registry").count() == n
