@@ -3,8 +3,11 @@
 A text is normalised (case, copyright lines, equivalent spellings, punctuation,
 white space) and its SHA-256 is looked up among the digests of known licences by
 a hash join.  Units are the whole text and each of its lines, each taken entire.
-The table of known digests is fixed by this module (under 300 rows), so it is
-broadcast; the scan is one narrow stage without a shuffle.
+The built-in table of known digests is fixed by this module (under 400 rows), so it
+is broadcast; the scan is one narrow stage without a shuffle.  It covers the texts
+and declarations below and the digests of FULL_DIGESTS; full texts of AGPL-3.0 and of
+the Creative Commons licences but CC0 are not in it and need a table of their own.
+The SQL has the table without FULL_DIGESTS.
 
 Defined results: one row for each unit that is a known licence, with the unit
 (``text`` or ``line``) and the line's number from 0 (null for the whole text); a
@@ -79,6 +82,24 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"],
 }
 
+#: Digests of whole legal texts, with and without the appendix on how to apply them (fixed values).
+FULL_DIGESTS = {
+    "Apache-2.0": ["ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"],
+    "BSD-3-Clause": ["21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.2-only": ["19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"],
+    "GFDL-1.3-only": ["e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"],
+    "GPL-1.0-only": ["8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"],
+    "GPL-2.0-only": ["b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"],
+    "GPL-3.0-only": ["010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b", "a94e2ff60e71a491e5db95941fe28139a74d19b3f5a8689c616670ada3c84164"],
+    "LGPL-2.0-only": ["9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"],
+    "LGPL-2.1-only": ["cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"],
+    "LGPL-3.0-only": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"],
+    "MPL-2.0": ["9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"],
+    "Unlicense": ["e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"],
+}
+
 
 def canonical(text: str) -> str:
     """The normal form, for the known texts."""
@@ -97,7 +118,7 @@ def canonical_column(text: Column) -> Column:
 
 @cache
 def known() -> list[tuple[str, str]]:
-    """(digest, licence) of all known texts."""
+    """(digest, licence) of the texts in this module, as the SQL has them."""
     pairs = [(t, name) for name, texts in TEXTS.items() for t in texts]
     pairs += [(f"{o} {n}", name) for o, (name, forms) in product(OPENINGS, NAMES.items()) for n in forms]
     found: dict[str, str] = {}
@@ -106,12 +127,18 @@ def known() -> list[tuple[str, str]]:
     return sorted(found.items())
 
 
+@cache
+def all_known() -> list[tuple[str, str]]:
+    """(digest, licence) of all known texts: those of the SQL and the whole legal texts."""
+    return sorted({**{d: name for name, of in FULL_DIGESTS.items() for d in of}, **dict(known())}.items())
+
+
 @cache
 def markers() -> list[str]:
     """Words of which every known text has at least one, and that no rewrite makes or changes.
 
     A text that lacks them all in lower case can't have a known digest, so it needs
-    no normalising.  Chosen greedily: the word that covers the most texts first.
+    no normalising; the texts of FULL_DIGESTS have some too. Chosen greedily: the word that covers the most texts first.
     """
     texts = {canonical(t) for of in TEXTS.values() for t in of}
     texts |= {canonical(f"{o} {n}") for o, forms in product(OPENINGS, NAMES.values()) for n in forms}
@@ -124,12 +151,22 @@ def markers() -> list[str]:
     return chosen
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, unit, line_no, license_id and digest of each match."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: DataFrame | None = None) -> DataFrame:
+    """doc_id, unit, line_no, license_id and digest of each match.
+
+    table: known texts as (text, license_id), or their digests as (digest,
+    license_id), to look up in place of the built-in ones; every text is then
+    normalised, and a digest of several licences gives a row for each.
+    """
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "digest string, license_id string"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = lambda: functools.reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(m)) for m in markers()])
+    if table is None:
+        table = F.broadcast(spark.createDataFrame(all_known(), "digest string, license_id string"))
+        marked = lambda: functools.reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(m)) for m in markers()])
+    else:
+        digest = F.col("digest") if "digest" in table.columns else F.sha2(canonical_column(F.col("text")), 256)
+        table = table.select(digest.alias("digest"), "license_id").distinct()
+        marked = lambda: F.lit(True)
     rows = rows.filter(marked())
     whole = rows.select("doc_id", F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line_no"), "text")
     lines = F.split("text", "\n")
