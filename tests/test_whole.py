@@ -2,11 +2,12 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from masthead import queries as screening
-from masthead.llm import licenses
+from masthead.llm import langid, licenses
 from masthead.operators import lexicon
 from masthead.plans import screen
 
@@ -97,3 +98,9 @@ def test_table_of_other_licenses(spark):
     assert sorted((r.doc_id, r.unit, r.license_id) for r in got) == [(1, "text", "X-1"), (2, "line", "X-1")]
     again = licenses.scan_licenses(docs, table=spark.createDataFrame([(got[0].digest, "X-2")], "digest string, license_id string"))
     assert {(r.doc_id, r.license_id) for r in again.collect()} == {(1, "X-2"), (2, "X-2")}
+
+
+def test_short_texts_without_a_known_gram_are_rejected():
+    model = langid.fit_model([(lang, langid.letters(text)) for lang, text in (("en", "the cat and the dog " * 9), ("de", "der hund und die katze " * 9)) for _ in range(3)])
+    assert model.predict("\u0449\u044b\u0436")[1:] == (0.0, True)
+    assert not model.predict("the")[2] and np.isclose(model.floor[0], 0)
