@@ -373,7 +373,8 @@ def postings_grams_capped(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def candidates_top100(spark: SparkSession, sf: str) -> DataFrame:
     index = screen.build_index(part_registry(spark, sf))
-    subs = screen.prepared(names(spark, sf).select(F.xxhash64("name").alias("query_id"), F.concat("name", F.lit(" gazette")).alias("title")))
+    titles = names(spark, sf).select(F.xxhash64("name").alias("query_id"), F.concat("name", F.lit(" gazette")).alias("title"))
+    subs = screen.prepared(titles.unionByName(page_titles(spark, sf).select(F.col("page_id").cast("long").alias("query_id"), "title")))
     subs = fixed(subs.select("query_id", "cleaned_title", "tokens", "anchor_words", F.split("anchor_words", " ").alias("anchor_tokens")), "submissions")
     words = subs.select(F.explode("tokens").alias("word")).distinct().select(F.array("word").alias("tokens"))
     return retrieve(subs, index.postings, fixed(registry.token_dimension(words, index.concepts), "dimension"))

@@ -104,3 +104,8 @@ def test_short_texts_without_a_known_gram_are_rejected():
     model = langid.fit_model([(lang, langid.letters(text)) for lang, text in (("en", "the cat and the dog " * 9), ("de", "der hund und die katze " * 9)) for _ in range(3)])
     assert model.predict("\u0449\u044b\u0436")[1:] == (0.0, True)
     assert not model.predict("the")[2] and np.isclose(model.floor[0], 0)
+
+
+def test_candidates_of_page_titles(spark):
+    pages = {r.page_id for r in screening.page_titles(spark, SF).collect()}
+    assert pages & {r.query_id for r in run(spark, "candidates_top100").select("query_id").distinct().collect()}
