@@ -14,8 +14,9 @@ those records as encoding first needs them.
 **Encoding.**  Words come pre-split by the byte-level pattern.  A word is walked
 left to right: the longest token with an arc from the present state is taken,
 and a dead end steps back; positions proven dead are marked, so a word of n
-bytes takes O(n) table steps for each token length.  Results of whole text
-units are kept in a bounded cache.
+bytes takes O(n) table steps for each token length.  Results of short text
+units are kept during a task, in a cache bounded in bytes; a very long text is
+worked off in segments.
 
 **Decoding** emits arc labels: the bytes of each id, joined, malformed UTF-8
 replaced.
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -40,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text units and transitions kept per Python worker before starting afresh.
-CACHE_UNITS = 1_000_000
-CACHE_ARCS = 1_500_000
+from masthead.llm.shared import AT_TASK_END, lean
+from masthead.llm.tokens import _CUT, CACHE_BYTES, ENTRY_BYTES, UNIT_CHARS, around_added, segments
+
+#: Transitions kept per Python worker before starting afresh (about 100 bytes each).
+CACHE_ARCS = 1_000_000
 #: The pre-split of byte-level tokenizer files (fixed value of the format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_CUT = re.compile(r" (?=\S)")
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in tokenizer files, by its rule."""
@@ -81,7 +82,12 @@ class MergeAutomaton:
             self.left[w], self.made_at[w], self.target[w] = u, time, r
             self.target[u] = len(self.origin) - 1
         self.token = {b: i for i, b in labels.items() if i in self.target}
-        self.longest = max((len(b) for b in self.token), default=1)
+        #: Lengths of the tokens that begin with four bytes, the longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.token:
+            if len(b) > 3:
+                lengths.setdefault(b[:4], set()).add(len(b))
+        self.reach = {head: (*sorted(of, reverse=True), 3, 2, 1) for head, of in lengths.items()}
 
     def allows(self, state: int, token: int) -> bool:
         """Whether the state has an arc with this label."""
@@ -110,14 +116,16 @@ class MergeAutomaton:
         whole = token.get(word)
         if whole is not None and self.step(0, whole) >= 0:
             return [whole]
-        n, table, longest, shift = len(word), self.table, self.longest, 20
+        n, table, reach, short, shift = len(word), self.table, self.reach, (3, 2, 1), 20
         path: list[int] = []
         ends: list[int] = [0]
         states: list[int] = [0]
         dead: set[tuple[int, int]] = set()
-        at, state, size = 0, 0, min(longest, n)
+        at, state, most = 0, 0, n
         while at < n:
-            while size:
+            for size in reach.get(word[at : at + 4], short):
+                if size > most:
+                    continue
                 t = token.get(word[at : at + size])
                 if t is not None:
                     to = table.get(state << shift | t)
@@ -125,14 +133,13 @@ class MergeAutomaton:
                         to = self.step(state, t)
                     if to >= 0 and (not dead or (at + size, to) not in dead):
                         break
-                size -= 1
             else:
                 if not path:
                     raise ValueError(f"no path for {word!r}")
                 dead.add((at, state))
                 ends.pop()
                 states.pop()
-                size = len(self.label[path.pop()]) - 1
+                most = len(self.label[path.pop()]) - 1
                 at, state = ends[-1], states[-1]
                 continue
             path.append(t)
@@ -140,7 +147,7 @@ class MergeAutomaton:
             state = to
             ends.append(at)
             states.append(state)
-            size = min(longest, n - at)
+            most = n - at
         return path
 
 
@@ -162,11 +169,21 @@ class BpeCodec:
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.arcs = labels | {i: s.encode() for s, i in added.items()}
         self.added = added
-        self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.around = around_added(added)
         self.split = regex.compile(BYTE_LEVEL).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: words, and units at a text's start and after a space."""
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, known: dict[str, bytes], unit: str, ids: bytes) -> None:
+        if len(unit) <= UNIT_CHARS:
+            known[unit] = ids
+            self.held += sys.getsizeof(unit) + sys.getsizeof(ids) + ENTRY_BYTES
 
     def _ids(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
@@ -174,29 +191,37 @@ class BpeCodec:
         for word in self.split(text):
             ids = words.get(word)
             if ids is None:
-                ids = words[word] = array("I", self.automaton.encode_word(word.encode())).tobytes()
+                ids = array("I", self.automaton.encode_word(word.encode())).tobytes()
+                self._keep(words, word, ids)
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.around is not None and any(a in text for a in self.added):
-            parts = self.around.split(text)
-            return b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self._ids(p) for p in parts if p)
+    def _segment(self, text: str) -> bytes:
         # A single space before a non-space always opens a word: a safe cut.
+        if self.held > CACHE_BYTES:
+            self.forget()
         units = _CUT.split(text)
-        first, rest = self.first, self.rest
-        if len(first) + len(rest) + len(self.words) > CACHE_UNITS:
-            first.clear()
-            rest.clear()
-            self.words.clear()
-        out = []
+        known, out = self.first, []
         for i, unit in enumerate(units):
-            known = rest if i else first
             ids = known.get(unit)
             if ids is None:
-                ids = known[unit] = self._ids(" " + unit if i else unit)
+                ids = self._ids(" " + unit if i else unit)
+                self._keep(known, unit, ids)
             out.append(ids)
+            known = self.rest
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        parts = [text]
+        if self.around is not None and any(a in text for a in self.added):
+            parts = [p for p in self.around.split(text) if p]
+        out = []
+        for part in parts:
+            if part in self.added:
+                out.append(array("I", [self.added[part]]).tobytes())
+            else:
+                out += map(self._segment, segments(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -205,10 +230,11 @@ class BpeCodec:
 
 
 _CODECS: dict[int, BpeCodec] = {}
+AT_TASK_END.append(lambda: [c.forget() for c in _CODECS.values()])
 
 
 def codec(definition: str) -> BpeCodec:
-    """This Python worker's codec; tasks of a worker share it."""
+    """This Python worker's codec; its cache of units goes when the task ends."""
     key = hash(definition)
     if key not in _CODECS:
         _CODECS.clear()
@@ -234,7 +260,7 @@ def bpe_encode(docs: DataFrame, definition: str, text_col: str = "text", ids_col
             ids = pa.array([own.encode(t) for t in batch.column("__bpe_text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), ids], names=[*kept, ids_col])
 
-    return source.select(*[F.col(f"`{k}`") for k in kept], "__bpe_text").mapInArrow(run, fields)
+    return source.select(*[F.col(f"`{k}`") for k in kept], "__bpe_text").mapInArrow(lean(run), fields)
 
 
 def bpe_decode(rows: DataFrame, definition: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -249,7 +275,7 @@ def bpe_decode(rows: DataFrame, definition: str, ids_col: str = "ids", text_col:
             texts = [None if b is None else own.decode(b) for b in batch.column("__bpe_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string())], names=[*kept, text_col])
 
-    return source.select(*[F.col(f"`{k}`") for k in kept], "__bpe_ids").mapInArrow(run, fields)
+    return source.select(*[F.col(f"`{k}`") for k in kept], "__bpe_ids").mapInArrow(lean(run), fields)
 
 
 def bpe_digests(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,15 +288,13 @@ def bpe_digests(docs: DataFrame, definition: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(definition)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.column("__bpe_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col),
-                    pa.array([len(b) // 4 for b in ids], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
-                    pa.array([hashlib.sha256(own.decode(b).encode()).hexdigest() for b in ids]),
-                ],
-                names=[f.name for f in schema],
-            )
-
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__bpe_text")).mapInArrow(run, schema)
+            sizes, coded, decoded = [], [], []
+            for text in batch.column("__bpe_text"):
+                ids = own.encode(text.as_py())
+                sizes.append(len(ids) // 4)
+                coded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            columns = [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__bpe_text")).mapInArrow(lean(run), schema)

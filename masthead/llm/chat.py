@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masthead.llm.shared import lean
 from masthead.llm.tokens import BATCH_CHARS, encoder
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -127,7 +128,7 @@ def format_conversations(rows: DataFrame, definition: str, loss_role: str = LOSS
         if held:
             yield out(held)
 
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return dealt.select("conv_id", "role", "text").mapInArrow(lean(run), schema)
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
@@ -146,4 +147,4 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *map(pa.array, rows, kinds)], names=schema.names)
 
-    return formatted.select("conv_id", "formatted", "offsets", "mask", "loss_spans").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "offsets", "mask", "loss_spans").mapInArrow(lean(run), schema)

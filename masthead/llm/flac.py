@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from masthead.llm.shared import lean
+
 BLOCK_SAMPLES = 1152
 SAMPLE_RATE = 8000
 #: Samples that are coded side by side; bounds a worker's memory.
@@ -427,7 +429,7 @@ def text_to_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             media = encode_many([payload(t, pad) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), schema)
 
 
 def flac_to_pcm(media: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
@@ -445,7 +447,7 @@ def flac_to_pcm(media: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
                     blocks.append(x[a : a + block].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(numbers, pa.int32()), pa.array(offsets, pa.int64()), pa.array(blocks, pa.binary())], names=schema.names)
 
-    return media.filter("media is not null").select("doc_id", "media").mapInArrow(run, schema)
+    return media.filter("media is not null").select("doc_id", "media").mapInArrow(lean(run), schema)
 
 
 def feature(x: np.ndarray) -> str:
@@ -469,4 +471,4 @@ def media_digests(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, rows, kinds)], names=schema.names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)

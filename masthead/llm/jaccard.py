@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from masthead.llm.components import components
 from masthead.llm.dedup import BLOCK, _blocks, _cells, maybe_repeated
-from masthead.llm.shared import materialize
+from masthead.llm.shared import lean, materialize
 
 #: Buckets of at most so many sets list their pairs.
 PAIRS = 8
@@ -197,7 +197,7 @@ def _described(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                 sketches.append(sketch(s, sketch_bits(len(s))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _bucket_edges(keys: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _bucket_edges(keys: DataFrame) -> DataFrame:
                 a, b, sure = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "a long, b long, sure boolean")
+    return keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(lean(run), "a long, b long, sure boolean")
 
 
 def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
             keep = [may_link(n[i], np.frombuffer(x[i], np.uint64), m[i], np.frombuffer(y[i], np.uint64), percent) for i in range(len(n))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +333,7 @@ def _shingled(texts: DataFrame, width: int) -> DataFrame:
             whole = pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("component"), batch.column("blocks"), pa.array(data, pa.binary())], names=["sid", "component", "blocks", "shingles"])
             yield whole.filter(pa.array(own, pa.bool_()))
 
-    return texts.mapInArrow(run, "sid long, component long, blocks int, shingles binary")
+    return texts.mapInArrow(lean(run), "sid long, component long, blocks int, shingles binary")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,18 @@
 
 Each input partition packs its own pieces best-fit, longest first, and closes
 the bins that are nearly full.  The underfull bins alone are gathered: in rounds
-of a tree, groups of at most ``fan`` of them are packed best-fit again with whole
-bins as items, until one group is left.  Text never shuffles; only the records of
-underfull bins do, and a bin's record is bounded by the capacity.
+of a tree, groups of about ``fan`` of them are packed best-fit again with whole
+bins as items.  Text never shuffles; only the records of underfull bins do, and a
+bin's record is bounded by the capacity.
+
+**What a round takes.**  Two bins of more than half the capacity never fit together,
+and best fit leaves at most one smaller bin in a group.  So with S small bins left
+anywhere, at most S joins are still possible, and if a small bin fits any large
+one it fits an emptier one too: a round takes the S small bins and the S emptiest
+large ones, and every other bin is done.  S falls by a factor of about ``fan`` with each
+round, whatever the sizes are, so no task ever gets more than a group.  For this
+choice the driver gets the number of bins by size (at most ``capacity`` rows), and
+by partition for the one size at the edge.
 
 Defined results: a null text is empty and still gives one piece, its end id.
 Documents longer than the capacity are cut into pieces of just the capacity, of
@@ -19,18 +28,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masthead.llm.shared import materialize
-from masthead.llm.tokens import CACHE_UNITS, encoder
+from masthead.llm.shared import lean, materialize
+from masthead.llm.tokens import CACHE_BYTES, encoder
 
 #: Pieces that a partition packs at once; bounds a worker's memory.
 CHUNK_PIECES = 20_000
 #: Rows whose texts are taken out of an Arrow batch at once.
 SLICE_ROWS = 1_000
-#: Underfull bins that one task of a round packs.
+#: The most underfull bins that one group of a round has; groups are dealt by a hash to be three quarters full.
 FAN = 2_000
 
 
@@ -68,7 +77,7 @@ def _bin_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("size", T.IntegerType()), T.StructField("closed", T.BooleanType()), T.StructField("items", T.ArrayType(item))])
 
 
-def _merged(bins: list[dict], capacity: int, slack: int, last: bool) -> list[dict]:
+def _merged(bins: list[dict], capacity: int, slack: int) -> list[dict]:
     """Bins packed as items; a joined bin's offsets run on from bin to bin."""
     out = []
     for members in best_fit([b["size"] for b in bins], capacity):
@@ -76,25 +85,25 @@ def _merged(bins: list[dict], capacity: int, slack: int, last: bool) -> list[dic
         for i in members:
             items += [x | {"offset": x["offset"] + size} for x in bins[i]["items"]]
             size += bins[i]["size"]
-        out.append({"size": size, "closed": last or size >= capacity - slack, "items": items})
+        out.append({"size": size, "closed": size >= capacity - slack, "items": items})
     return out
 
 
-def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_units: int = CACHE_UNITS) -> DataFrame:
+def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     slack: a bin with at most so much room left is closed where it is made.
-    cache_units: the bound of a worker's unit cache, for executors with less memory.
+    cache_bytes: the bound of a worker's unit cache, for executors with less memory.
     """
     schema = _bin_schema(docs.schema[id_col].dataType)
     arrow = pa.schema([("size", pa.int32()), ("closed", pa.bool_())])
     end = int(end_id).to_bytes(4, "little")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pieces = encoder(definition, cache_units), []
+        own, pieces = encoder(definition, cache_bytes), []
 
         def packed() -> pa.RecordBatch:
-            bins = _merged(pieces, capacity, slack, False)
+            bins = _merged(pieces, capacity, slack)
             pieces.clear()
             return pa.RecordBatch.from_pylist(bins, schema=pa.schema([*arrow, ("items", item_type)]))
 
@@ -114,12 +123,9 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_i
         if pieces:
             yield packed()
 
-    def again(last: bool):
-        def run(table: pa.Table) -> pa.Table:
-            table = table.drop_columns(["__group"])
-            return pa.Table.from_pylist(_merged(table.to_pylist(), capacity, slack, last), schema=table.schema)
-
-        return run
+    def again(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["__group"])
+        return pa.Table.from_pylist(_merged(table.to_pylist(), capacity, slack), schema=table.schema)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rank = 0
@@ -128,20 +134,45 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_i
         """Written once, so that numbers and bins stay as they are when tasks run again."""
         return materialize(bins.withColumn("sequence_id", F.lit(rank << 58) + F.monotonically_increasing_id()), f"pack{rank}")
 
-    now = kept(rows.mapInArrow(local, schema))
-    done = [now.filter("closed")]
-    waiting = now.filter("not closed").count()
-    while waiting:
+    now = kept(rows.mapInArrow(lean(local), schema))
+    done = []
+    while True:
+        joinable, n = _joinable(now, capacity)
+        if n < 2:
+            break
+        done.append(now.filter(~joinable))
         rank += 1
-        groups = -(-waiting // fan)
-        opened = now.filter("not closed").drop("sequence_id").withColumn("__group", (F.monotonically_increasing_id() % groups).cast("int"))
-        now = kept(opened.groupBy("__group").applyInArrow(again(groups == 1), schema))
-        done.append(now.filter("closed"))
-        still = now.filter("not closed").count()
-        if still > 0.9 * waiting:  # too few small bins a group to shrink: gather more of them
-            fan *= 2
-        waiting = still
-    result = done[0]
-    for part in done[1:]:
+        groups = -(-4 * n // (3 * fan)) if n > fan else 1
+        taken = now.filter(joinable).withColumn("__group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int")).drop("sequence_id")
+        now = kept(taken.groupBy("__group").applyInArrow(again, schema))
+    result = now
+    for part in done:
         result = result.unionByName(part)
     return result.select("sequence_id", F.explode("items").alias("x")).select("x.doc_id", "x.piece", "x.start", "x.length", "x.ids_crc32", "sequence_id", "x.offset")
+
+
+def _joinable(bins: DataFrame, capacity: int) -> tuple[Column, int]:
+    """Which open bins may still be joined with others, and how many they are."""
+    left = bins.filter("not closed")
+    by_size = dict(sorted(map(tuple, left.groupBy("size").count().collect())))
+    small = {s: c for s, c in by_size.items() if 2 * s <= capacity}
+    n = sum(small.values())
+    if not n:
+        return F.lit(False), 0
+    fitting = {s: c for s, c in by_size.items() if s not in small and s + min(small) <= capacity}
+    total, below, edge = 0, capacity // 2 + 1, None
+    for size, count in fitting.items():
+        if total + count > n:
+            edge = size
+            break
+        total, below = total + count, size + 1
+    open_ = ~F.col("closed") & (F.col("size") < below)
+    if edge is not None and total < n:
+        part = F.shiftright("sequence_id", 33)  # the task that wrote the bin
+        last = None
+        for last, count in sorted(map(tuple, left.filter(F.col("size") == edge).groupBy(part.alias("part")).count().collect())):
+            total += count
+            if total >= n:
+                break
+        open_ = open_ | (~F.col("closed") & (F.col("size") == edge) & (part <= last))
+    return open_, n + total

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +51,35 @@ def text_or_empty(column: str = "text"):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: What empties the caches that modules keep in a Python worker.
+AT_TASK_END: list[Callable[[], object]] = []
+
+
+def release() -> None:
+    """Empty the caches and give freed memory back to the machine: Arrow's pool, then the allocator's."""
+    for empty in AT_TASK_END:
+        empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function for ``mapInArrow`` that keeps nothing when the task ends.
+
+    Python workers are used again by later tasks of any stage, next to the JVM's
+    heap; what one stage leaves in them would be missing in the next.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task

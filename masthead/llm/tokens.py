@@ -3,8 +3,14 @@
 A text is cut before every single space that a non-space follows, and around a
 single newline between non-spaces.  Such cuts never change what a byte-level
 pre-tokenizer does (the space always belongs to the word after it, the newline is
-alone), so a unit's ids can be kept and reused.  Texts that hold an added token's
-string, and tokenizers of another kind, go through whole.
+alone), so a unit's ids can be kept and reused.  Strings of added tokens are cut
+out first.  Tokenizers of another kind get their texts whole.
+
+Memory is bounded in bytes: the cache by ``CACHE_BYTES``, the work in hand by
+``BATCH_CHARS``.  Units longer than ``UNIT_CHARS`` (a line of Chinese, a run of
+base64) are encoded anew each time.  A text longer than ``BATCH_CHARS`` is worked
+off in segments that end at a cut, or where a letter meets a digit or an ASCII
+punctuation mark; only a single unit without any of these is taken in one piece.
 """
 
 from __future__ import annotations
@@ -13,17 +19,27 @@ import gc
 import json
 import os
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
-#: Units kept per Python worker (about 190 bytes each); the cache starts afresh beyond it.
-CACHE_UNITS = 1_600_000
+from masthead.llm.shared import AT_TASK_END
+
+#: Bytes of units and ids kept during a task; the cache starts afresh beyond it.
+CACHE_BYTES = 96 << 20
+#: Bytes of a cache entry besides its strings.
+ENTRY_BYTES = 100
+#: Units of more characters are not kept.
+UNIT_CHARS = 48
 #: Characters handed to the library at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 _CUT = re.compile(r" (?=\S)")
+#: Where a pre-tokenizer by classes of characters always begins a new word.
+_LETTER = r"A-Za-z\u0e01-\u0e2e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_BORDER = re.compile(rf"(?= \S)|(?<=[{_LETTER}])(?=[0-9])|(?<=[0-9])(?=[{_LETTER}])|(?<=[{_LETTER}0-9])(?=[!-&(-/:-@\[-^`{{-~\u3002\uff0c\uff01\uff1f])")
 
 
 def read_definition(path: str) -> str:
@@ -31,6 +47,24 @@ def read_definition(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+def segments(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters that are encoded independently."""
+    size = size or BATCH_CHARS
+    at = 0
+    while len(text) - at > size:
+        border = _BORDER.search(text, at + size)
+        if border is None:
+            break
+        yield text[at : border.start()]
+        at = border.start()
+    yield text[at:] if at else text
+
+
+def around_added(added: dict[str, int]) -> re.Pattern | None:
+    """The pattern that parts a text at its added tokens, the longest first."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers in bytes."""
 
@@ -44,94 +78,133 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         spec = json.loads(definition)
         pre = spec.get("pre_tokenizer") or {}
-        plain = spec.get("normalizer") is None and spec.get("post_processor") is None
+        own = spec.get("added_tokens", [])
+        plain = spec.get("normalizer") is None and spec.get("post_processor") is None and not any(x.get(k) for x in own for k in ("lstrip", "rstrip", "single_word"))
         self.cuttable = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in own}
+        self.around = around_added(self.added)
         self.newline, *stops = self._whole(["\n", ".", ","])
         self.stops = dict(zip(".,", stops, strict=True))
-        self.cache_units = CACHE_UNITS
+        self.cache_bytes = CACHE_BYTES
+        self.held = 0
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.first, self.rest, self.held = {}, {}, 0
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: Iterable[str], known: dict[str, bytes], lead: str) -> None:
-        """Add the ids of new units.  A stop or comma after a letter is a token of
-        its own, so such units are put together from the word's ids."""
+    def _learn(self, units: Iterable[str], known: dict[str, bytes], lead: str) -> list[str]:
+        """Add the ids of new units; returned are those too long to be kept.
+
+        A stop or comma after a letter is a token of its own, so such units are put
+        together from the word's ids."""
         new = set(units).difference(known)
         ended = {u: u[:-1] for u in new if u[-1:] in self.stops and u[-2:-1].isalpha()}
         new.difference_update(ended)
         new.update(w for w in ended.values() if w not in known)
         fresh = list(new)
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
             known.update(zip(part, self._whole([lead + u for u in part]), strict=True))
         for unit, word in ended.items():
             known[unit] = known[word] + self.stops[unit[-1]]
+        new.update(ended)
+        long = [u for u in new if len(u) > UNIT_CHARS]
+        size = sys.getsizeof
+        self.held += sum(size(u) + size(known[u]) for u in new) + ENTRY_BYTES * len(new) - sum(size(u) + size(known[u]) + ENTRY_BYTES for u in long)
+        return long
 
     def _units(self, text: str) -> list[list[str]]:
         """Units by line; single newlines between non-spaces are cuts as well."""
         lines = text.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        if len(lines) > 1 and (any(not x or x[-1].isspace() for x in lines[:-1]) or any(not x or x[0].isspace() for x in lines[1:])):
             lines = [text]
         return [_CUT.split(x) for x in lines]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.  The many short-lived lists hold no cycles, so the
         collector, which would walk them again and again, rests meanwhile."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode_batch(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode_batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[list[str]]]] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if self.cuttable and not any(a in text for a in self.added):
-                cut.append((i, self._units(text)))
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.rest) + len(self.first) > self.cache_units:
-            self.first.clear()
-            self.rest.clear()
-        heads = [[line.pop(0) for line in lines] for _, lines in cut]
-        self._learn(chain.from_iterable(heads), self.first, "")
-        self._learn(chain.from_iterable(line for _, lines in cut for line in lines), self.rest, " ")
-        first, rest = self.first, self.rest.__getitem__
-        for (i, lines), own in zip(cut, heads, strict=True):
-            out[i] = self.newline.join([first[head] + b"".join(map(rest, line)) for head, line in zip(own, lines, strict=True)])
+        return list(self.encode_stream(texts))
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without added tokens, about ``BATCH_CHARS`` together."""
+        if not self.cuttable:
+            return self._whole(texts)
+        if self.held > self.cache_bytes:
+            self.forget()
+        cut = [self._units(text) for text in texts]
+        heads = [[line.pop(0) for line in lines] for lines in cut]
+        first, rest = self.first, self.rest
+        long_first = self._learn(chain.from_iterable(heads), first, "")
+        long_rest = self._learn(chain.from_iterable(line for lines in cut for line in lines), rest, " ")
+        get = rest.__getitem__
+        out = [self.newline.join([first[head] + b"".join(map(get, line)) for head, line in zip(own, lines, strict=True)]) for lines, own in zip(cut, heads, strict=True)]
+        for known, long in ((first, long_first), (rest, long_rest)):
+            for unit in long:
+                del known[unit]
         return out
 
+    def _parts(self, text: str) -> list[str]:
+        """The text at its added tokens, in segments; added tokens stand alone."""
+        if not self.cuttable:
+            return [text]
+        parts = [text]
+        if self.around is not None and any(a in text for a in self.added):
+            parts = [p for p in self.around.split(text) if p]
+        if len(text) > BATCH_CHARS:
+            parts = [s for p in parts for s in (segments(p) if p not in self.added else (p,))]
+        return parts
+
     def encode_stream(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Like ``encode_batch``, over pieces of about ``BATCH_CHARS``."""
-        held: list[str] = []
+        """Ids of each text, worked off in portions of about ``BATCH_CHARS``."""
+        held: list[str] = []  # parts that wait
+        ends: list[int] = []  # for each text, the number of parts up to its end
+        done: list[bytes] = []  # ids of the parts before a long text's last portion
         chars = 0
+
+        def portion() -> list[bytes]:
+            collecting = gc.isenabled()
+            gc.disable()
+            try:
+                plain = [i for i, p in enumerate(held) if p not in self.added] if self.cuttable else range(len(held))
+                out = [b""] * len(held) if len(plain) == len(held) else [self.added.get(p, b"") for p in held]
+                for i, ids in zip(plain, self._encode_plain([held[i] for i in plain]), strict=True):
+                    out[i] = ids
+                return out
+            finally:
+                if collecting:
+                    gc.enable()
+
         for text in texts:
-            held.append(text)
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                yield from self.encode_batch(held)
-                held, chars = [], 0
-        if held:
-            yield from self.encode_batch(held)
+            for part in self._parts(text):
+                held.append(part)
+                chars += len(part)
+                if chars >= BATCH_CHARS:
+                    coded, at = portion(), 0
+                    for end in ends:
+                        yield b"".join(done + coded[at:end])
+                        done, at = [], end
+                    done += coded[at:]
+                    held, ends, chars = [], [], 0
+            ends.append(len(held))
+        coded, at = portion() if held else [], 0
+        for end in ends:
+            yield b"".join(done + coded[at:end])
+            done, at = [], end
 
 
 _ENCODERS: dict[int, CachedEncoder] = {}
+AT_TASK_END.append(lambda: [e.forget() for e in _ENCODERS.values()])
 
 
-def encoder(definition: str, cache_units: int = CACHE_UNITS) -> CachedEncoder:
-    """This Python worker's encoder for a definition; tasks of a worker share it."""
+def encoder(definition: str, cache_bytes: int = CACHE_BYTES) -> CachedEncoder:
+    """This Python worker's encoder for a definition; its cache goes when the task ends."""
     key = hash(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = CachedEncoder(definition)
-    _ENCODERS[key].cache_units = cache_units
+    _ENCODERS[key].cache_bytes = cache_bytes
     return _ENCODERS[key]

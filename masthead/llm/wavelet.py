@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from masthead.llm.shared import materialize
+from masthead.llm.shared import lean, materialize
 from masthead.llm.tokens import encoder
 
 MAGIC = b"WVMX"
@@ -208,7 +208,7 @@ def write_token_shards(docs: DataFrame, definition: str, end_id: int = 0, planes
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    return materialize(dealt.mapInArrow(run, SHARDS), "wavelet")
+    return materialize(dealt.mapInArrow(lean(run), SHARDS), "wavelet")
 
 
 def read_token_shards(shards: DataFrame, id_type: T.DataType = T.LongType()) -> DataFrame:
@@ -233,4 +233,4 @@ def read_token_shards(shards: DataFrame, id_type: T.DataType = T.LongType()) ->
                 at = base[part.as_py()] + first.as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(file.ids), pa.array(starts + at, pa.int64()), pa.array(file.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names)
 
-    return shards.select("part", "first", "payload").mapInArrow(run, schema)
+    return shards.select("part", "first", "payload").mapInArrow(lean(run), schema)

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import subprocess
+import sys
 import zlib
 from array import array
 
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from masthead.llm import chat, flac, langid, licenses, packing, urls, wavelet
+from masthead.llm import chat, flac, langid, licenses, packing, tokens, urls, wavelet
 from masthead.llm.bpe import BpeCodec, MergeAutomaton, bpe_decode, bpe_digests, bpe_encode
 from masthead.llm.queries import CONTROL_TEXT, QUERIES, URL_RULES
 from masthead.llm.tokens import CachedEncoder
@@ -69,6 +71,56 @@ def test_ids_equal_the_library(definition, tokenizer):
         assert own.decode(ids) == tokenizer.decode(want, skip_special_tokens=False) == text
 
 
+LONG = ["word and\nother 12 words. " * 60_000, "日本語の文。" * 200_000, "ab12," * 210_000, "x " * 10 + "<|endoftext|>" + " y" * 700_000, "tail  \n  space " * 90_000]
+
+
+def test_long_texts_in_segments(definition, tokenizer):
+    own, cached = BpeCodec(definition), CachedEncoder(definition)
+    texts = ["before it", *LONG, "", "after"]
+    for text, ids, more in zip(texts, cached.encode_stream(iter(texts)), map(own.encode, texts), strict=True):
+        want = array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        assert ids == want and more == want
+        assert "".join(tokens.segments(text)) == text
+
+
+PROBE = """
+import sys, psutil, random
+from masthead.llm import bpe, shared, tokens
+from masthead.llm.queries import tokenizer_path
+d = tokens.read_definition(tokenizer_path())
+own = tokens.encoder(d) if sys.argv[1] == "tokens" else bpe.codec(d)
+encode = own.encode_batch if sys.argv[1] == "tokens" else lambda t: [own.encode(x) for x in t]
+rng = random.Random(1)
+encode(["warm up " * 50])
+start = psutil.Process().memory_info().rss
+most = 0
+for _ in range(50 if sys.argv[1] == "tokens" else 10):
+    encode(["".join(chr(rng.randrange(0x4e00, 0x9fa5)) for _ in range(200)) for _ in range(1000)])
+    most = max(most, psutil.Process().memory_info().rss)
+assert own.held <= tokens.CACHE_BYTES + (16 << 20), own.held
+shared.release()
+assert own.held == 0 and not own.rest
+print((most - start) >> 20, (psutil.Process().memory_info().rss - start) >> 20)
+"""
+
+
+@pytest.mark.parametrize("kind", ["tokens", "bpe"])
+def test_memory_of_many_long_units(kind):
+    """Lines of 200 Chinese characters without a space: under 160 MB, and given back."""
+    out = subprocess.run([sys.executable, "-c", PROBE, kind], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) < 160 and int(out[1]) < 100, out
+
+
+def test_bpe_query_against_the_library(spark, tokenizer):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op1_bpe"](spark, SF).collect()}
+    for d in docs.collect():
+        ids = tokenizer.encode(d.text or "", add_special_tokens=False).ids
+        said = tokenizer.decode(ids, skip_special_tokens=False)
+        assert got.pop(d.doc_id) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+    assert not got
+
+
 def test_bpe_columns(spark, definition):
     docs = edge_documents(spark)
     coded = bpe_encode(docs, definition)  # an input column named ids gives way
@@ -163,6 +215,30 @@ def test_packing(spark, definition, tokenizer, capacity, fan):
         assert r.ids_crc32 == zlib.crc32(array("I", ids[r.doc_id][r.start : r.start + r.length]).tobytes())
 
 
+def test_packing_rounds_stay_small(spark, definition, monkeypatch):
+    """Bins that can't be joined are never gathered, whatever their number."""
+    taken = []
+    of = packing._joinable
+    monkeypatch.setattr(packing, "_joinable", lambda *a: taken.append(of(*a)) or taken[-1])
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 5, "a").otherwise("a a a a a a a a").alias("text")).repartition(40)
+    out = packing.pack_documents(rows, definition, capacity=16, slack=1)
+    assert out.select("sequence_id").distinct().count() == 50_000 - 5
+    assert len(taken) <= 4 and max(n for _, n in taken) <= 4 * 40
+    more = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a a a").alias("text")).repartition(200)
+    n = packing.pack_documents(more, definition, capacity=16, fan=64).select("sequence_id").distinct().count()
+    assert n <= 55  # 50 at least: four of four tokens in each
+
+
+def test_packing_odd_ids(spark, definition):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, None), (7, "c"), (7, "c")], "doc_id int, text string")
+    rows = packed(spark, df, definition, capacity=8)
+    assert sorted(((r.doc_id, r.length) for r in rows), key=str) == sorted([(None, 3), (None, 3), (7, 1), (7, 2), (7, 2)], key=str)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(x)[0][0] == 0 and sum(n for _, n in x) <= 8 for x in by.values())
+
+
 def test_packing_empty(spark, definition):
     assert packed(spark, edge_documents(spark).limit(0), definition) == []
 
