@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +77,15 @@ def masked_texts(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans: n
     """Each turn's text under the mask, from the tokens' own offsets, unescaped."""
     pieces: list[list[str]] = [[] for _ in range(len(spans))]
     chosen = offsets[mask]
-    reached = 0
-    for start, end in chosen.tolist():
-        start = max(start, reached)  # tokens that share a character give it once
-        turn = int(np.searchsorted(spans[:, 1], start, side="right"))
-        while turn < len(spans) and spans[turn, 0] < end:
-            a, b = max(start, int(spans[turn, 0])), min(end, int(spans[turn, 1]))
-            if a < b:
-                pieces[turn].append(formatted[a:b])
-            turn += 1
-        reached = max(reached, end)
+    if len(chosen):
+        reached = np.maximum.accumulate(chosen[:, 1])
+        first = np.flatnonzero(np.concatenate(([True], chosen[1:, 0] > reached[:-1])))  # runs of tokens without a gap
+        starts, ends = chosen[first, 0], reached[np.append(first[1:], len(chosen)) - 1]
+        low, high = np.searchsorted(spans[:, 1], starts, side="right"), np.searchsorted(spans[:, 0], ends, side="left")
+        places = spans.tolist()
+        for start, end, i, j in zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+            for turn in range(i, j):
+                pieces[turn].append(formatted[max(start, places[turn][0]) : min(end, places[turn][1])])
     return [unescape("".join(p)) for p in pieces]
 
 
@@ -108,7 +108,7 @@ def format_conversations(rows: DataFrame, definition: str, loss_role: str = LOSS
             rendered = [render(turns, loss_role) for _, turns in found]
             columns: list[list[bytes]] = [[], [], [], []]
             for (_, spans), encoded in zip(rendered, tokenizer.encode_batch([r[0] for r in rendered], add_special_tokens=False), strict=True):
-                offsets = np.array(encoded.offsets, "<u4").reshape(-1, 2)
+                offsets = np.fromiter(chain.from_iterable(encoded.offsets), "<u4", 2 * len(encoded)).reshape(-1, 2)
                 places = np.array(spans, "<u4").reshape(-1, 2)
                 for column, value in zip(columns, (np.array(encoded.ids, "<u4"), offsets, mask_tokens(offsets, places), places), strict=True):
                     column.append(value.tobytes())

@@ -2,34 +2,37 @@
 
 **File format** (all numbers little-endian)::
 
-    "WVMX"  u8 version  u8 planes  u64 tokens  u32 documents  u32 size of the ids block
-    ids block     zlib of a JSON list with the document ids, in order
-    u32[documents]  tokens of each document
+    "WVMX"  u8 version  u8 planes  u64 tokens  u32 documents  u32 end id  u32 size of the ids block
+    ids block     zlib of an Arrow stream with the document ids, of any type, in order
+    u32[documents]  which occurrence of the end id, from 0, closes each document
     for each plane, the highest bit first:
         u64 zeros   u32[ceil(tokens / 512)] ones before each block of 512   bits, packed
 
 Plane k holds bit k of the tokens in the order that planes 0..k-1 have sorted
 them in, stably.  Rank is a block count plus one popcount, so one shard answers
-access, count and select without being expanded.
+access, count and select without being expanded.  The documents' borders are not
+stored: they are where ``select`` finds the end ids that close them.
 
-Shards live as rows of a Parquet table, one shard a row: Spark's committer makes
-the write atomic and a lost executor's task writes its shards again.
+Shards are written as rows of a Parquet table, one shard a row: Spark's committer
+makes the write atomic and a lost executor's task writes its shards again, in any
+store that Spark reaches.  ``save_shard_files`` writes each as a file of its own
+to a folder that all executors have mounted; ``load_shard_files`` reads them.
 
 Defined results: null text is empty and still gets its end id.  Documents are in
 ascending id order, null ids first; rows with one id follow the hash of their
-text.  An empty table gives no shards.  Extra input columns are not carried.
+text.  Ids may be of any type that Spark orders.  An empty table gives no shards.  Extra input columns are not carried.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +41,27 @@ from masthead.llm.tokens import encoder
 
 MAGIC = b"WVMX"
 RANK_BLOCK = 512
-_HEAD = struct.Struct("<4sBBQII")
+_HEAD = struct.Struct("<4sBBQIII")
 #: A shard is closed when it has at least so many tokens; documents stay whole.
 SHARD_TOKENS = 1 << 19
 
 
-def build(tokens: np.ndarray, lengths: list[int], ids: list, planes: int) -> bytes:
-    """The file's bytes for the tokens of consecutive documents."""
+def _packed_ids(ids: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
+    return zlib.compress(sink.getvalue())
+
+
+def build(tokens: np.ndarray, lengths: list[int], ids: pa.Array, planes: int, end_id: int = 0) -> bytes:
+    """The file's bytes for the tokens of consecutive documents, which all end with the end id."""
     n = len(tokens)
-    block = zlib.compress(json.dumps(ids).encode())
-    out = [_HEAD.pack(MAGIC, 1, planes, n, len(ids), len(block)), block, np.asarray(lengths, "<u4").tobytes()]
+    last = np.cumsum(lengths) - 1
+    if len(last) and (tokens[last] != end_id).any():
+        raise ValueError("a document lacks its end id")
+    closing = np.cumsum(tokens == end_id)[last] - 1
+    block = _packed_ids(ids)
+    out = [_HEAD.pack(MAGIC, 2, planes, n, len(ids), end_id, len(block)), block, closing.astype("<u4").tobytes()]
     now = tokens
     for level in range(planes):
         ones = (now & now.dtype.type(1 << (planes - 1 - level))) != 0
@@ -70,13 +84,13 @@ class WaveletShard:
     """Read side of one file."""
 
     def __init__(self, data: bytes):
-        magic, version, self.planes, self.n, documents, size = _HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, self.planes, self.n, documents, self.end_id, size = _HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a wavelet shard")
         at = _HEAD.size
-        self.ids = json.loads(zlib.decompress(data[at : at + size]))
+        self.ids = pa.ipc.open_stream(zlib.decompress(data[at : at + size])).read_all().column(0).combine_chunks()
         at += size
-        self.lengths = np.frombuffer(data, "<u4", documents, at)
+        self.closing = np.frombuffer(data, "<u4", documents, at)
         at += 4 * documents
         self.zeros: list[int] = []
         self.before: list[np.ndarray] = []
@@ -89,6 +103,7 @@ class WaveletShard:
             at += 8 + 4 * blocks + packed
         if at != len(data):
             raise ValueError("wavelet shard has a wrong length")
+        self._bytes_before: dict[int, np.ndarray] = {}
 
     def _bit(self, level: int, at: int) -> int:
         return int(self.bits[level][at >> 3]) >> (7 - (at & 7)) & 1
@@ -149,6 +164,54 @@ class WaveletShard:
             at = lo
         return at
 
+    def _before_bytes(self, level: int) -> np.ndarray:
+        """Ones of the plane before each byte, made when many places are asked for."""
+        if level not in self._bytes_before:
+            found = np.zeros(len(self.bits[level]) + 1, np.int64)
+            np.cumsum(np.bitwise_count(self.bits[level]), out=found[1:])
+            self._bytes_before[level] = found
+        return self._bytes_before[level]
+
+    def _ones_many(self, level: int, ends: np.ndarray) -> np.ndarray:
+        byte, part = ends >> 3, ends & 7
+        last = self.bits[level][np.minimum(byte, len(self.bits[level]) - 1)].astype(np.int64) >> (8 - part)
+        return self._before_bytes(level)[byte] + np.where(part > 0, np.bitwise_count(last), 0)
+
+    def count_many(self, token: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Occurrences in each [start, end), by rank."""
+        if token >> self.planes or not self.n:
+            return np.zeros(len(starts), np.int64)
+        for level in range(self.planes):
+            a, b = self._ones_many(level, starts), self._ones_many(level, ends)
+            if token >> (self.planes - 1 - level) & 1:
+                starts, ends = self.zeros[level] + a, self.zeros[level] + b
+            else:
+                starts, ends = starts - a, ends - b
+        return ends - starts
+
+    def select_many(self, token: int, ks: np.ndarray) -> np.ndarray:
+        """The places of these occurrences, from 0."""
+        if not len(ks):
+            return np.zeros(0, np.int64)
+        first, end = self._range(token, 0, self.n) if not token >> self.planes else (0, 0)
+        if int(ks.min()) < 0 or int(ks.max()) >= end - first:
+            raise IndexError("no such occurrence")
+        at = first + ks.astype(np.int64)
+        for level in reversed(range(self.planes)):
+            one = token >> (self.planes - 1 - level) & 1
+            rank = at - self.zeros[level] if one else at
+            before = self._before_bytes(level)
+            before = before if one else 8 * np.arange(len(before)) - before
+            byte = np.searchsorted(before, rank, side="right") - 1
+            bits = np.unpackbits(self.bits[level][byte][:, None], axis=1) == one
+            at = 8 * byte + (np.cumsum(bits, axis=1) <= (rank - before[byte])[:, None]).sum(axis=1)
+        return at
+
+    def borders(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each document, found by select."""
+        ends = self.select_many(self.end_id, self.closing) + 1
+        return np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1])), ends
+
     def tokens(self) -> np.ndarray:
         """All tokens in order, from the lowest plane up."""
         kind = np.uint16 if self.planes <= 16 else np.uint32
@@ -186,12 +249,13 @@ def write_token_shards(docs: DataFrame, definition: str, end_id: int = 0, planes
 
         def shard() -> pa.RecordBatch:
             tokens = np.concatenate(held)
-            row = {"part": part, "first": first, "n_docs": len(ids), "n_tokens": len(tokens), "payload": build(tokens, [len(x) for x in held], ids, planes)}
+            row = {"part": part, "first": first, "n_docs": len(ids), "n_tokens": len(tokens), "payload": build(tokens, [len(x) for x in held], pa.array(ids, id_type), planes, end_id)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        size = 0
+        size, id_type = 0, None
         for batch in batches:
-            for doc_id, got in zip(batch.column("id").to_pylist(), own.encode_stream(batch.column("text").to_pylist()), strict=True):
+            id_type = batch.schema.field("id").type
+            for doc_id, got in zip(batch.column("id").to_pylist(), own.encode_stream(t.as_py() for t in batch.column("text")), strict=True):
                 wide = np.frombuffer(got + end, "<u4")
                 if planes < 32 and wide.max() >> planes:
                     raise ValueError(f"a token id needs more than {planes} planes")
@@ -212,25 +276,53 @@ def write_token_shards(docs: DataFrame, definition: str, end_id: int = 0, planes
 
 
 def read_token_shards(shards: DataFrame, id_type: T.DataType = T.LongType()) -> DataFrame:
-    """One row for each document, decoded from the shards: doc_id, start, n_tokens, ids_crc32.
+    """One row for each document, from the shards: doc_id, start, n_tokens, ids_crc32, n_end_ids.
 
-    Only one number for each range goes to the driver, for the running totals.
+    Borders come from select, the count of end ids (the added one, and those the
+    text itself holds) from rank, and the digest from all tokens in order.  Only one
+    number for each range goes to the driver, for the running totals.
     """
     base, total = {}, 0
     for part, n in sorted(map(tuple, shards.groupBy("part").agg(F.sum("n_tokens")).collect())):
         base[part] = total
         total += n
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32", "n_end_ids")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, first, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
                 file = WaveletShard(payload.as_py())
                 ids = memoryview(file.tokens().astype("<u4")).cast("B")
-                ends = np.cumsum(file.lengths, dtype=np.int64)
-                starts = ends - file.lengths
+                starts, ends = file.borders()
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 at = base[part.as_py()] + first.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(file.ids), pa.array(starts + at, pa.int64()), pa.array(file.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names)
+                numbers = [pa.array(c, pa.int64()) for c in (starts + at, ends - starts, crc, file.count_many(file.end_id, starts, ends))]
+                yield pa.RecordBatch.from_arrays([file.ids, *numbers], names=schema.names)
 
     return shards.select("part", "first", "payload").mapInArrow(lean(run), schema)
+
+
+def save_shard_files(shards: DataFrame, folder: str) -> int:
+    """Write each shard as ``part-first.wvm``; a task that runs again replaces its files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        n = 0
+        for batch in batches:
+            for part, first, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path = f"{folder}/{part.as_py():06d}-{first.as_py():015d}.wvm"
+                with open(f"{path}.{os.getpid()}", "wb") as out:
+                    out.write(payload.as_py())
+                os.replace(out.name, path)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return shards.select("part", "first", "payload").mapInArrow(lean(run), "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def load_shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files as a table that ``read_token_shards`` takes."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
+    place = F.split(F.regexp_extract("path", r"(\d+-\d+)\.wvm$", 1), "-")
+    number = lambda at, size: F.expr(f"conv(hex(reverse(substring(content, {at}, {size}))), 16, 10)").cast("long")
+    return found.select(place[0].cast("int").alias("part"), place[1].cast("long").alias("first"), number(15, 4).alias("n_docs"), number(7, 8).alias("n_tokens"), F.col("content").alias("payload"))

@@ -9,6 +9,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -267,8 +268,13 @@ def test_wavelet_shard():
     rng = np.random.default_rng(5)
     for n in (1, 7, 512, 513, 3000):
         tokens = (rng.zipf(1.5, n) % 900).astype(np.uint16)
-        file = wavelet.WaveletShard(wavelet.build(tokens, [n], [7], 16))
-        assert (file.tokens() == tokens).all() and file.ids == [7]
+        cuts = np.unique(np.append(rng.integers(1, n + 1, 9), n))
+        tokens[cuts - 1] = 3
+        file = wavelet.WaveletShard(wavelet.build(tokens, np.diff(cuts, prepend=0).tolist(), pa.array(range(len(cuts))), 16, end_id=3))
+        assert (file.tokens() == tokens).all() and file.ids.to_pylist() == list(range(len(cuts)))
+        assert [x.tolist() for x in file.borders()] == [[0, *cuts[:-1].tolist()], cuts.tolist()]
+        starts, ends = file.borders()
+        assert file.count_many(3, starts, ends).tolist() == [int((tokens[a:b] == 3).sum()) for a, b in zip(starts, ends, strict=True)]
         for i in rng.integers(0, n, 5).tolist():
             t = int(tokens[i])
             assert file.access(i) == t
@@ -289,11 +295,25 @@ def test_shards(spark, definition, tokenizer):
     at = 0
     for r, d in zip(got, docs.orderBy("doc_id").collect(), strict=True):
         ids = tokenizer.encode(d.text or "", add_special_tokens=False).ids + [0]
-        assert tuple(r) == (d.doc_id, at, len(ids), zlib.crc32(array("I", ids).tobytes()))
+        assert tuple(r) == (d.doc_id, at, len(ids), zlib.crc32(array("I", ids).tobytes()), ids.count(0))
         at += len(ids)
     assert wavelet.read_token_shards(wavelet.write_token_shards(docs.limit(0), definition)).count() == 0
 
 
+@pytest.mark.parametrize("kind, ids", [("int", [1, None, 7, 7]), ("string", ["b", "a", None, "é"]), ("date", ["2020-01-02", None, "1999-01-01", "2020-01-02"]), ("timestamp", ["2020-01-02 03:04:05", None, "1999-01-01 00:00:00", None])])
+def test_shards_of_other_ids(spark, definition, tmp_path, kind, ids):
+    docs = spark.createDataFrame([(x, "some text") for x in ids], "doc_id string, text string").select(F.col("doc_id").cast(kind), "text")
+    shards = wavelet.write_token_shards(docs, definition)
+    got = wavelet.read_token_shards(shards, docs.schema["doc_id"].dataType)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    order = [r.doc_id for r in got.orderBy("start").collect()]
+    assert order == [r.doc_id for r in docs.orderBy("doc_id").collect()]
+    assert wavelet.save_shard_files(shards, str(tmp_path / "files")) == shards.count()
+    again = wavelet.load_shard_files(spark, str(tmp_path / "files"))
+    assert sorted(map(tuple, again.select("part", "first", "n_docs", "n_tokens").collect())) == sorted(map(tuple, shards.select("part", "first", "n_docs", "n_tokens").collect()))
+    assert sorted(map(str, wavelet.read_token_shards(again, docs.schema["doc_id"].dataType).collect())) == sorted(map(str, got.collect()))
+
+
 # -- chat
 
 
