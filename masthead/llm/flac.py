@@ -13,7 +13,10 @@ of every header, the CRC-16 of every frame, and the stream's MD5.  Anything else
 
 Defined results: null text is stored as the empty text; the payload is UTF-8
 with zero bytes up to a positive multiple of ``pad``, so no stream is empty.
-Equal texts give equal streams.  An empty table gives no rows.
+Equal texts give equal streams, repeated ids a row each.  An empty table gives no
+rows; other columns are not carried.  A long text is coded in runs of frames: a
+worker holds it, its stream and its samples, each about a byte a byte, besides
+work of a fixed size.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from masthead.llm.shared import lean
 
 BLOCK_SAMPLES = 1152
 SAMPLE_RATE = 8000
-#: Samples that are coded side by side; bounds a worker's memory.
+#: Samples of a PCM block.
+PCM_SAMPLES = 1 << 16
+#: Samples that are coded side by side; bounds a worker's memory, a long stream's too.
 BATCH_SAMPLES = 400_000
 _SEEK = struct.Struct(">QQH")
 
@@ -92,21 +97,15 @@ def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> No
         bits[at + b] = values >> (width - 1 - b) & 1
 
 
-def encode_many(payloads: list[bytes], block: int = BLOCK_SAMPLES, as_lpc: bool = False) -> list[bytes]:
-    """A stream for each non-empty payload of unsigned bytes.
+def _runs(n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of frames that hold about ``BATCH_SAMPLES`` samples; a frame stays whole."""
+    chunk = (np.cumsum(n) - n) // BATCH_SAMPLES
+    cuts = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(n)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
-    as_lpc writes the fixed predictors as LPC subframes with the same coefficients.
-    """
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    if not len(sizes):
-        return []
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128
-    per_doc = -(-sizes // block)
-    doc = np.repeat(np.arange(len(sizes)), per_doc)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    start = np.repeat(np.cumsum(sizes) - sizes, per_doc) + number * block
-    n = np.minimum(block, np.repeat(sizes, per_doc) - number * block)
 
+def _encode_frames(x: np.ndarray, start: np.ndarray, n: np.ndarray, number: np.ndarray, as_lpc: bool) -> tuple[bytes, np.ndarray]:
+    """Consecutive frames and their sizes; a frame has n samples of x from its start."""
     place = np.arange(len(x)) - np.repeat(start, n)
     residuals = [x.astype(np.int32)]
     for order in (1, 2):
@@ -179,14 +178,38 @@ def encode_many(payloads: list[bytes], block: int = BLOCK_SAMPLES, as_lpc: bool
     crc = _crc(out, frame_at, frame_size - 2, CRC16, 16)
     out[frame_at + frame_size - 2], out[frame_at + frame_size - 1] = crc >> 8, crc & 0xFF
 
-    streams, data, lo = [], out.tobytes(), 0
-    signed = x.astype(np.int8).tobytes()
-    first_sample = np.cumsum(sizes) - sizes
+    return out.tobytes(), frame_size
+
+
+def encode_many(payloads: list[bytes], block: int = BLOCK_SAMPLES, as_lpc: bool = False) -> list[bytes]:
+    """A stream for each non-empty payload of unsigned bytes.
+
+    as_lpc writes the fixed predictors as LPC subframes with the same coefficients.
+    Frames are coded in runs, so the work in hand doesn't grow with a payload.
+    """
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    if not len(sizes):
+        return []
+    raw = np.frombuffer(b"".join(payloads) if len(payloads) > 1 else payloads[0], np.uint8)
+    per_doc = -(-sizes // block)
+    doc = np.repeat(np.arange(len(sizes)), per_doc)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    start = np.repeat(np.cumsum(sizes) - sizes, per_doc) + number * block
+    n = np.minimum(block, np.repeat(sizes, per_doc) - number * block)
+    coded = []
+    for lo, hi in _runs(n):
+        x = raw[start[lo] : start[hi - 1] + n[hi - 1]].astype(np.int16) - 128
+        coded.append(_encode_frames(x, start[lo:hi] - start[lo], n[lo:hi], number[lo:hi], as_lpc))
+    data, frame_size = b"".join(c[0] for c in coded), np.concatenate([c[1] for c in coded])
+    del coded
+    frame_at = np.cumsum(frame_size) - frame_size
+
+    streams, lo = [], 0
     ends = np.cumsum(per_doc)
     for i, hi in enumerate(ends.tolist()):
         a, b = int(frame_at[lo]), int(frame_at[hi - 1] + frame_size[hi - 1])
         total = int(sizes[i])
-        md5 = hashlib.md5(signed[int(first_sample[i]) : int(first_sample[i]) + total]).digest()
+        md5 = hashlib.md5(np.frombuffer(payloads[i], np.uint8) ^ np.uint8(0x80)).digest()
         packed = SAMPLE_RATE << 44 | 0 << 41 | 7 << 36 | total
         info = struct.pack(">HH", max(16, block), max(16, block)) + int(frame_size[lo:hi].min()).to_bytes(3, "big") + int(frame_size[lo:hi].max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
         seek = b"".join(_SEEK.pack(j * block, int(frame_at[lo + j]) - a, int(n[lo + j])) for j in range(hi - lo))
@@ -330,8 +353,29 @@ def _restore(data: np.ndarray, view: _Window, at: np.ndarray, n: np.ndarray, wid
     return x, at
 
 
+def _decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray, bits: np.ndarray, target: np.ndarray, flat: np.ndarray) -> None:
+    """Write the samples of consecutive frames to their places; at: their CRC-8."""
+    if (_crc(data, start, end - start - 2, CRC16, 16) != data[end - 2].astype(np.uint32) * 256 + data[end - 1]).any():
+        raise FlacError("a frame's CRC-16 is wrong")
+    view, body = _Window(data), 8 * (at + 2)
+    for width in np.unique(bits).tolist():
+        mine = bits == width
+        for f in np.flatnonzero(mine & (kind == 0)).tolist():
+            flat[target[f] : target[f] + n[f]] = view.take_signed(body[f : f + 1], width)[0]
+        for f in np.flatnonzero(mine & (kind == 1)).tolist():
+            flat[target[f] : target[f] + n[f]] = view.take_signed(body[f] + width * np.arange(n[f]), width)
+        coded = np.flatnonzero(mine & (kind >= 8))
+        if len(coded):
+            coded = coded[np.argsort(-n[coded], kind="stable")]
+            x, stop = _restore(data, view, body[coded], n[coded], width, kind[coded])
+            if (-(-stop // 8) != end[coded] - 2).any():
+                raise FlacError("a frame has a wrong length")
+            for j, f in enumerate(coded.tolist()):
+                flat[target[f] : target[f] + n[f]] = x[: n[f], j]
+
+
 def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    """Samples of each stream; every checksum is verified."""
+    """Samples of each stream; every checksum is verified.  Frames are decoded in runs."""
     if not streams:
         return []
     totals, widths, md5s, starts, owner, sample = [], [], [], [], [], []
@@ -348,56 +392,42 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
             owner.append(i)
             sample.append(at)
         base += len(s)
-    data = np.frombuffer(b"".join(streams), np.uint8)
+    data = np.frombuffer(b"".join(streams) if len(streams) > 1 else streams[0], np.uint8)
     start, own, sample_at = np.array(starts, np.int64), np.array(owner), np.array(sample, np.int64)
     stream_end = np.cumsum([len(s) for s in streams])
     end = np.append(start[1:], 0)
     last = np.append(own[1:] != own[:-1], True)
     end[last] = stream_end[own[last]]
-    view = _Window(data)
+    if (np.diff(start) <= 0).any():
+        raise FlacError("seek points aren't in order")
     if (data[start] != 0xFF).any() or ((data[start + 1] & 0xFE) != 0xF8).any() or (data[start + 3] >> 4 != 0).any():
         raise FlacError("no mono frame at a seek point")
     lead = data[start + 4].astype(np.int64)
     extra = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [0, 1, 2, 3, 4, 5], 6)
-    code, at = data[start + 2] >> 4, start + 5 + extra
+    code, at = (data[start + 2] >> 4).astype(np.int64), start + 5 + extra
     rate = data[start + 2] & 15
-    eight, sixteen = view.take(8 * at, 8) + 1, view.take(8 * at, 16) + 1
-    code = code.astype(np.int64)
-    n = np.select([code == 1, (code >= 2) & (code <= 5), code == 6, code == 7, code >= 8], [192, 576 << np.clip(code - 2, 0, 3), eight, sixteen, 256 << np.clip(code - 8, 0, 7)], 0)
+    eight, next_ = data[at].astype(np.int64), data[np.minimum(at + 1, len(data) - 1)]
+    n = np.select([code == 1, (code >= 2) & (code <= 5), code == 6, code == 7, code >= 8], [192, 576 << np.clip(code - 2, 0, 3), eight + 1, eight * 256 + next_ + 1, 256 << np.clip(code - 8, 0, 7)], 0)
     at = at + np.select([code == 6, code == 7], [1, 2], 0) + np.select([rate == 12, rate == 13, rate == 14], [1, 2, 2], 0)
     if (_crc(data, start, at - start, CRC8, 8) != data[at]).any():
         raise FlacError("a frame header's CRC-8 is wrong")
-    if (_crc(data, start, end - start - 2, CRC16, 16) != data[end - 2].astype(np.uint32) * 256 + data[end - 1]).any():
-        raise FlacError("a frame's CRC-16 is wrong")
     head = data[at + 1]
     if (head & 0x81).any():
         raise FlacError("wasted bits aren't read")
-    kind, body = (head >> 1).astype(np.int64), 8 * (at + 2)
+    kind = (head >> 1).astype(np.int64)
     if not ((kind <= 1) | ((kind >= 8) & (kind <= 12)) | (kind >= 32)).all():
         raise FlacError("a reserved subframe")
     bits = np.array(widths)[own]
     first = np.cumsum(totals) - totals
-    flat = np.zeros(int(sum(totals)), np.int64)
+    flat = np.zeros(int(sum(totals)), np.int8 if max(widths) == 8 else np.int16)
     target = first[own] + sample_at
     if (sample_at + n > np.array(totals)[own]).any() or n.sum() != len(flat):
         raise FlacError("frames don't cover the stream")
-    for width in np.unique(bits).tolist():
-        mine = bits == width
-        for f in np.flatnonzero(mine & (kind == 0)).tolist():
-            flat[target[f] : target[f] + n[f]] = view.take_signed(body[f : f + 1], width)[0]
-        for f in np.flatnonzero(mine & (kind == 1)).tolist():
-            flat[target[f] : target[f] + n[f]] = view.take_signed(body[f] + width * np.arange(n[f]), width)
-        coded = np.flatnonzero(mine & (kind >= 8))
-        if len(coded):
-            coded = coded[np.argsort(-n[coded], kind="stable")]
-            x, stop = _restore(data, view, body[coded], n[coded], width, kind[coded])
-            if (-(-stop // 8) != end[coded] - 2).any():
-                raise FlacError("a frame has a wrong length")
-            for j, f in enumerate(coded.tolist()):
-                flat[target[f] : target[f] + n[f]] = x[: n[f], j]
+    for lo, hi in _runs(n):
+        _decode_frames(data[start[lo] : end[hi - 1]], start[lo:hi] - start[lo], end[lo:hi] - start[lo], at[lo:hi] - start[lo], n[lo:hi], kind[lo:hi], bits[lo:hi], target[lo:hi], flat)
     out = []
     for i, total in enumerate(totals):
-        one = flat[first[i] : first[i] + total].astype(np.int8 if widths[i] == 8 else "<i2")
+        one = flat[first[i] : first[i] + total].astype(np.int8 if widths[i] == 8 else "<i2", copy=False)
         if md5s[i].strip(b"\0") and hashlib.md5(one.tobytes()).digest() != md5s[i]:
             raise FlacError("the stream's MD5 is wrong")
         out.append(one)
@@ -425,50 +455,103 @@ def text_to_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            media = encode_many([payload(t, pad) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
+            sizes = pc.binary_length(batch.column("text")).cast(pa.int64())
+            media = encode_many([payload(t.as_py(), pad) for t in batch.column("text")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(media, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), schema)
 
 
-def flac_to_pcm(media: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
-    """(doc_id, block, sample_offset, pcm): decoded blocks that can be sought by sample; null media gives none."""
-    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), T.StructField("block", T.IntegerType()), T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])
+def flac_to_pcm(media: DataFrame, block: int = PCM_SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carry…, block, sample_offset, pcm): decoded blocks that can be sought by sample.
+
+    A stream's blocks follow each other in order, in the partition of its row; every
+    stream has one block at least.  Null media gives none.
+    """
+    kept = ["doc_id", *carry]
+    schema = T.StructType([media.schema[c] for c in kept] + [T.StructField("block", T.IntegerType()), T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "media"):
-            ids, numbers, offsets, blocks = [], [], [], []
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), decode_many(batch.column("media").to_pylist()), strict=True):
-                for j, a in enumerate(range(0, len(x), block)):
-                    ids.append(doc_id)
+            rows, numbers, offsets, blocks, size = [], [], [], [], 0
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                same = [batch.column(c).take(pa.array(rows, pa.int64())) for c in kept]
+                return pa.RecordBatch.from_arrays([*same, pa.array(numbers, pa.int32()), pa.array(offsets, pa.int64()), pa.array(blocks, pa.binary())], names=schema.names)
+
+            for i, x in enumerate(decode_many(batch.column("media").to_pylist())):
+                for j, a in enumerate(range(0, max(1, len(x)), block)):
+                    rows.append(i)
                     numbers.append(j)
                     offsets.append(a)
                     blocks.append(x[a : a + block].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(numbers, pa.int32()), pa.array(offsets, pa.int64()), pa.array(blocks, pa.binary())], names=schema.names)
+                    size += block
+                    if size >= 16 * BATCH_SAMPLES:
+                        yield out()
+                        rows, numbers, offsets, blocks, size = [], [], [], [], 0
+            if rows:
+                yield out()
+
+    return media.filter("media is not null").select(*kept, "media").mapInArrow(lean(run), schema)
+
 
-    return media.filter("media is not null").select("doc_id", "media").mapInArrow(lean(run), schema)
+class Feature:
+    """Sum, energy, peak and zero crossings of 8-bit samples, block by block; all whole numbers."""
 
+    def __init__(self) -> None:
+        self.sum = self.energy = self.peak = self.crossings = 0
+        self.last = None
 
-def feature(x: np.ndarray) -> str:
-    """Sum, energy, peak and zero crossings of the samples, all whole numbers."""
-    wide = x.astype(np.int64)
-    return f"sum={wide.sum()};energy={(wide * wide).sum()};peak={np.abs(wide).max()};crossings={np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0))}"
+    def add(self, x: np.ndarray) -> None:
+        if not len(x):
+            return
+        wide = x.astype(np.int64)
+        self.sum += int(wide.sum())
+        self.energy += int((wide * wide).sum())
+        self.peak = max(self.peak, int(np.abs(wide).max()))
+        self.crossings += int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+        if self.last is not None and (self.last < 0) != (wide[0] < 0):
+            self.crossings += 1
+        self.last = int(wide[-1])
 
+    def __str__(self) -> str:
+        return f"sum={self.sum};energy={self.energy};peak={self.peak};crossings={self.crossings}"
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """The stored streams read back: sizes, digests and features of each row."""
+
+def media_digests(media: DataFrame, block: int = PCM_SAMPLES) -> DataFrame:
+    """The stored streams read back as PCM blocks: sizes, digests and features of each row.
+
+    One task streams over the blocks of its streams and holds one block of each.
+    """
     schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType)] + [T.StructField(a, b) for a, b in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
+    stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, "media"):
-            streams = batch.column("media").to_pylist()
-            rows: list[list] = [[] for _ in range(6)]
-            for stream, x in zip(streams, decode_many(streams), strict=True):
-                data = (x.view(np.uint8) ^ 0x80).tobytes()
-                for column, value in zip(rows, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(x)), strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, rows, kinds)], names=schema.names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)
+        now: list = []  # of the stream in hand: fixed columns, length, digest, tail, feature
+
+        def row() -> list:
+            (doc_id, n_bytes, size, sha), length, digest, tail, feature = now
+            return [doc_id, n_bytes, length, digest.hexdigest(), zlib.crc32(tail), size, sha, str(feature)]
+
+        kinds = None
+        for batch in batches:
+            if kinds is None:
+                kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows = []
+            for place, number in enumerate(batch.column("block").to_pylist()):
+                if number == 0:
+                    if now:
+                        rows.append(row())
+                    now = [tuple(batch.column(c)[place].as_py() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")), 0, hashlib.sha256(), b"", Feature()]
+                x = np.frombuffer(batch.column("pcm")[place].as_buffer(), np.int8)
+                data = x.view(np.uint8) ^ np.uint8(0x80)
+                now[1] += len(x)
+                now[2].update(data)
+                now[3] = (now[3] + data[-64:].tobytes())[-64:]
+                now[4].add(x)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row(), kinds, strict=True)], names=schema.names)
+
+    return flac_to_pcm(stored, block, ("n_bytes", "media_bytes", "media_sha256")).mapInArrow(lean(run), schema)

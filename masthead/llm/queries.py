@@ -13,7 +13,7 @@ from masthead.llm.flac import media_digests, text_to_flac
 from masthead.llm.jaccard import near_duplicate_classes
 from masthead.llm.langid import language_predictions
 from masthead.llm.packing import pack_documents
-from masthead.llm.shared import documents
+from masthead.llm.shared import documents, materialize
 from masthead.llm.tokens import read_definition
 from masthead.llm.urls import judge_urls, seed_urls, train_urls
 from masthead.llm.wavelet import read_token_shards, write_token_shards
@@ -69,7 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(text_to_flac(documents(spark, sf_dir), pad=64))
+    return media_digests(materialize(text_to_flac(documents(spark, sf_dir), pad=64), "flac"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -362,6 +362,9 @@ def test_flac_round_trip():
         streams = flac.encode_many(data, as_lpc=lpc)
         assert [(x.view(np.uint8) ^ 0x80).tobytes() for x in flac.decode_many(streams)] == data
     assert flac.encode_many(data) == [flac.encode_many([d])[0] for d in data]
+    long = flac.payload("Some long text, é. " * 150_000)
+    assert flac.encode_many([b"x" * 64, long])[1] == flac.encode_many([long])[0]
+    assert (flac.decode_many(flac.encode_many([long]))[0].view(np.uint8) ^ 0x80).tobytes() == long
     for place in (-1, -10, 60):
         broken = bytearray(flac.encode_many([flac.payload("hello world " * 500)])[0])
         broken[place] ^= 4
@@ -369,14 +372,43 @@ def test_flac_round_trip():
             flac.decode_many([bytes(broken)])
 
 
+MEDIA_PROBE = """
+import psutil, threading, time
+from masthead.llm import flac
+text = "Some words of a text, é. " * 1_200_000
+start, most, done = psutil.Process().memory_info().rss, [0], []
+def watch():
+    while not done:
+        most[0] = max(most[0], psutil.Process().memory_info().rss)
+        time.sleep(0.02)
+threading.Thread(target=watch).start()
+data = flac.payload(text)
+stream = flac.encode_many([data])
+flac.decode_many(stream)
+done.append(1)
+print(len(data), most[0] - start)
+"""
+
+
+def test_media_memory_of_a_long_text():
+    """A text of 31 MB: its payload, stream and samples, and work of a fixed size."""
+    size, most = map(int, subprocess.run([sys.executable, "-c", MEDIA_PROBE], capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert most < 8 * size + (160 << 20), (size, most)
+
+
 def test_media(spark):
     docs = edge_documents(spark)
     media = flac.text_to_flac(docs)
     rows = {r.doc_id: r for r in flac.media_digests(media).collect()}
+    assert {r.doc_id: tuple(r) for r in flac.media_digests(media, 100).collect()} == {d: tuple(r) for d, r in rows.items()}
+    twice = flac.media_digests(flac.text_to_flac(docs.select(F.lit(1).alias("doc_id"), "text"))).collect()
+    assert len(twice) == docs.count() and {r.payload_sha256 for r in twice} == {r.payload_sha256 for r in rows.values()}
     for d in docs.collect():
         want = flac.payload(d.text or "")
         r = rows[d.doc_id]
         assert len(want) % 64 == 0 and len(want) >= 64
+        x = np.frombuffer(want, np.uint8).astype(int) - 128
+        assert r.feature == f"sum={x.sum()};energy={(x * x).sum()};peak={abs(x).max()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()}"
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((d.text or "").encode()), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
     same = [rows[d.doc_id] for d in docs.collect() if d.text == "same text here"]
     assert same[0][1:] == same[1][1:]
