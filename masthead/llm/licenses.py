@@ -1,7 +1,7 @@
 """Operator 2: licence scan by canonical digests.
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation,
-white space) and its SHA-256 is looked up among the digests of known licences by
+comment leaders, white space) and its SHA-256 is looked up among the digests of known licences by
 a hash join.  Units are the whole text and each of its lines, each taken entire.
 The built-in table of known digests is fixed by this module (under 400 rows), so it
 is broadcast; the scan is one narrow stage without a shuffle.  It covers the texts
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rewrites in order, in a form that Java, Python and RE2 read alike (fixed values).
-COPYRIGHT_LINE = r"(?m)^[ \t]*(portions )?(copyright|\(c\)|©)[^\n]*$"
+#: A copyright line has a sign, a year or a place for one, after any comment leader; other lines that begin with the word are text.
+COPYRIGHT_LINE = r"(?m)^[ \t/*#;%!.-]*(portions )?(copyright[ \t:]*(\(c\)|©|[\[<{]|[12][0-9]{3})|copyright[^\n]*[ ,][12][0-9]{3}\b|\(c\)[ \t]*(copyright|[12][0-9]{3})|©)[^\n]*$"
 REWRITES = [
     (COPYRIGHT_LINE, " "),
     (r"https://", "http://"),
@@ -84,19 +85,19 @@ NAMES = {
 
 #: Digests of whole legal texts, with and without the appendix on how to apply them (fixed values).
 FULL_DIGESTS = {
-    "Apache-2.0": ["ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"],
+    "Apache-2.0": ["036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"],
     "BSD-3-Clause": ["21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"],
     "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
-    "GFDL-1.2-only": ["19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"],
-    "GFDL-1.3-only": ["e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"],
+    "GFDL-1.2-only": ["15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"],
+    "GFDL-1.3-only": ["2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"],
     "GPL-1.0-only": ["8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"],
-    "GPL-2.0-only": ["b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"],
-    "GPL-3.0-only": ["010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b", "a94e2ff60e71a491e5db95941fe28139a74d19b3f5a8689c616670ada3c84164"],
-    "LGPL-2.0-only": ["9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"],
-    "LGPL-2.1-only": ["cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"],
+    "GPL-2.0-only": ["efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"],
+    "GPL-3.0-only": ["eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"],
+    "LGPL-2.0-only": ["61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"],
+    "LGPL-2.1-only": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"],
     "LGPL-3.0-only": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
-    "MPL-1.1": ["fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"],
-    "MPL-2.0": ["9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"],
+    "MPL-1.1": ["cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"],
+    "MPL-2.0": ["6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"],
     "Unlicense": ["e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"],
 }
 

@@ -2,7 +2,9 @@
 
 Trees are trained on labelled URLs.  Lexical features become at most ``BINS``
 bins; rows of equal bins are summed first, so training works on counted vectors
-(at most ``MAX_VECTORS`` of them, the commonest).  Each level of a tree is one
+(fitted on at most ``MAX_VECTORS`` of them, the commonest).  Statistics of the
+``MAX_SUFFIXES`` commonest suffixes of the training rows are learned; others count
+as the average.  Each level of a tree is one
 aggregation of gradients by (node, feature, bin); only those sums, bounded by the
 tree's size, come to the driver.  The finished trees are nested CASE expressions,
 so scoring is a narrow projection in generated code, without a shuffle.
@@ -16,8 +18,8 @@ give repeated results; an empty table gives none; other columns are not carried.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,24 +28,56 @@ from masthead.llm.shared import materialize
 
 BINS = 16
 MAX_VECTORS = 20_000
-MAX_SUFFIXES = 200
+#: Suffixes with a statistic of their own; this bounds the model.
+MAX_SUFFIXES = 2_000
 TREES, DEPTH, RATE, RIDGE = 12, 3, 0.3, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-#: Parts of the labelled URLs that come with the operator (fixed values).
-SEED_BLOCK = ["cheap-pills", "spam-farm", "free-casino-4u", "win-big-money", "click-bait-now", "hot-deals-24-7", "best-replica-watches", "fast-loan-approve"]
-SEED_ALLOW = ["news", "library", "archive", "blog", "docs", "museum", "weather", "research", "city", "school", "wiki", "forum"]
-SEED_TLDS = ["com", "org", "net"]
-SEED_BLOCK_PATHS = ["", "/", "/en/450?page=2&ref=x", "/offer/77/buy?id=1&aff=88&utm_source=mail", "/en/728", "/de/9/"]
-SEED_ALLOW_PATHS = ["", "/", "/en/853/", "/fr/825?page=2&ref=x", "/de/612?utm_source=feed", "/es/458.html", "/about#top", "/2024/report"]
+#: Words and endings that the labelled URLs are drawn from (fixed values).
+BLOCK_WORDS = ["cheap", "pills", "free", "casino", "bets", "win", "money", "deals", "replica", "loan", "click", "bonus", "track", "ads", "farm", "promo", "viagra", "crypto", "prize", "xxx", "spam", "hot", "slots", "offer"]
+ALLOW_WORDS = ["news", "library", "archive", "museum", "weather", "research", "city", "school", "wiki", "forum", "open", "data", "health", "garden", "river", "history", "science", "music", "north", "county", "press", "review", "maps", "green"]
+BLOCK_ENDINGS = {"com": 30, "net": 20, "org": 8, "xyz": 12, "top": 10, "click": 8, "info": 8, "biz": 4}
+ALLOW_ENDINGS = {"com": 30, "org": 30, "net": 14, "edu": 8, "gov": 5, "de": 5, "fr": 4, "info": 2, "uk": 2}
+SYLLABLES = ["ba", "con", "der", "es", "in", "ki", "lo", "men", "na", "or", "per", "ra", "sen", "ti", "ul", "ver"]
 
 
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """(url, label) with label 1 for block, composed from the lists above."""
-    rows = [(f"https://{sub}{w}.example.{t}{p}", 1) for w, t, p, sub in product(SEED_BLOCK, SEED_TLDS, SEED_BLOCK_PATHS, ("", "www."))]
-    rows += [(f"http://{sub}{w}.example.{t}{p}", 0) for w, t, p, sub in product(SEED_ALLOW, SEED_TLDS, SEED_ALLOW_PATHS, ("", "m."))]
-    return spark.createDataFrame(rows, "url string, label int")
+def labelled_urls(n: int, seed: int) -> list[tuple[str, int]]:
+    """(url, label) with label 1 for block, drawn at random from overlapping habits.
+
+    Hosts of both kinds have hyphens, either scheme, subdomains, invented names and
+    parameters, only more or fewer of them; no part alone gives the label away.
+    """
+    rng = random.Random(seed)
+    some = lambda table: rng.choices(list(table), list(table.values()))[0]
+    out = []
+    for i in range(n):
+        block = i % 2
+        name = [rng.choice(BLOCK_WORDS if rng.random() < (0.85 if block else 0.04) else ALLOW_WORDS) for _ in range(rng.choice((1, 2, 2, 3) if block else (1, 1, 2, 2)))]
+        if rng.random() < (0.1 if block else 0.5):
+            name = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(2, 5)))] + name[: rng.randrange(2)]
+        if rng.random() < (0.35 if block else 0.05):
+            name.append(str(rng.randrange(1, 1000)))
+        host = ("-" if rng.random() < (0.75 if block else 0.25) else "").join(name)
+        if rng.random() < 0.5:
+            host = rng.choice(("www", "m", "blog", "shop", "go")) + "." + host
+        if rng.random() < 0.4:
+            host += ".example"
+        path = ""
+        for _ in range(rng.choice((0, 1, 1, 2, 4) if block else (0, 1, 2, 2, 3))):
+            path += "/" + (f"{rng.getrandbits(48):x}" if rng.random() < (0.3 if block else 0.04) else rng.choice((rng.choice(ALLOW_WORDS), rng.choice(("en", "de", "fr", "es")), str(rng.randrange(1000)))))
+        path += rng.choice(("", "/", ".html"))
+        if rng.random() < (0.5 if block else 0.25):
+            keys = rng.sample(("id", "ref", "aff", "utm_source", "utm_campaign", "page", "q", "sid", "clickid"), rng.choice((1, 2, 3, 4) if block else (1, 1, 2)))
+            path += "?" + "&".join(f"{k}={rng.choice((str(rng.randrange(10**6)), rng.choice(ALLOW_WORDS), 'x'))}" for k in keys)
+        path += rng.choice(("", "", "", "#top"))
+        out.append((f"{'https' if rng.random() < (0.5 if block else 0.7) else 'http'}://{host}.{some(BLOCK_ENDINGS if block else ALLOW_ENDINGS)}{path}", block))
+    return out
+
+
+def seed_urls(spark: SparkSession, n: int = 4_000, seed: int = 20) -> DataFrame:
+    """The labelled URLs that come with the operator, as (url, label)."""
+    return spark.createDataFrame(labelled_urls(n, seed), "url string, label int")
 
 
 def host_of(url: Column) -> Column:
