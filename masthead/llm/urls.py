@@ -190,45 +190,55 @@ def train_urls(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> U
         k, b = at[node]
         return F.when(F.col(k) <= b, value(at, 2 * node)).otherwise(value(at, 2 * node + 1))
 
-    def place(at: dict, node: int) -> Column:
-        if node not in at:
+    def place(at: dict, node: int, level: int) -> Column:
+        """The node of this level that a row is in, 0 if it is in a leaf above."""
+        if node >= 1 << level:
             return F.lit(node)
         if isinstance(at[node], float):
             return F.lit(0)
         k, b = at[node]
-        return F.when(F.col(k) <= b, place(at, 2 * node)).otherwise(place(at, 2 * node + 1))
+        return F.when(F.col(k) <= b, place(at, 2 * node, level)).otherwise(place(at, 2 * node + 1, level))
 
+    # the margin so far is a column, so a level's expression has few trees, however many there are
+    now = vectors.withColumn("margin", F.lit(bias))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("b")) for k in names])).alias("x")
+    fresh: list[dict] = []  # trees that the column lacks yet
     for _ in range(trees):
-        margin = F.lit(bias)
-        for t in done:
+        margin = F.col("margin")
+        for t in fresh:
             margin = margin + value(t, 1)
         chance = _sigmoid(margin)
-        grown: dict = {}
-        for level in range(depth + 1):
-            pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("b")) for k in names])
+        grown: dict = {1: 0.0}
+        for level in range(depth):
             sums = (
-                vectors.select(place(grown, 1).alias("node"), (F.col("p") - F.col("n") * chance).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"), F.explode(pairs).alias("x"))
+                now.select(place(grown, 1, level).alias("node"), (F.col("p") - F.col("n") * chance).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"), pairs)
                 .filter("node > 0").groupBy("node", "x.k", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             )
             by: dict[int, dict[str, dict[int, tuple[float, float]]]] = {}
             for r in sums:
                 by.setdefault(r["node"], {}).setdefault(r["k"], {})[r["b"]] = (r["g"], r["h"])
+            split = False
             for node, of in by.items():
                 some = next(iter(of.values()))
                 g, h = sum(x[0] for x in some.values()), sum(x[1] for x in some.values())
-                best = (1e-6, None)
-                if level < depth:
-                    for k in names:
-                        left_g = left_h = 0.0
-                        for b in sorted(of[k])[:-1]:
-                            left_g, left_h = left_g + of[k][b][0], left_h + of[k][b][1]
-                            gain = left_g**2 / (left_h + RIDGE) + (g - left_g) ** 2 / (h - left_h + RIDGE) - g**2 / (h + RIDGE)
-                            if gain > best[0] + 1e-9:
-                                best = (gain, (k, b))
-                grown[node] = best[1] or float(RATE * g / (h + RIDGE))
-            if all(isinstance(v, float) or 2 * n_ in grown for n_, v in grown.items()):
+                leaf = lambda g, h: float(RATE * g / (h + RIDGE))
+                grown[node], most = leaf(g, h), 1e-6
+                for k in names:
+                    left_g = left_h = 0.0
+                    for b in sorted(of[k])[:-1]:
+                        left_g, left_h = left_g + of[k][b][0], left_h + of[k][b][1]
+                        gain = left_g**2 / (left_h + RIDGE) + (g - left_g) ** 2 / (h - left_h + RIDGE) - g**2 / (h + RIDGE)
+                        if gain > most + 1e-9:
+                            most, split = gain, True
+                            grown[node], grown[2 * node], grown[2 * node + 1] = (k, b), leaf(left_g, left_h), leaf(g - left_g, h - left_h)
+            if not split:
                 break
         done.append(grown)
+        fresh.append(grown)
+        if len(fresh) == 4:
+            for t in fresh:
+                now = now.withColumn("margin", F.col("margin") + value(t, 1))
+            now, fresh = materialize(now, "url-margins").coalesce(1), []
     raw_trees = [{node: v if isinstance(v, float) else (v[0], int(bounds[v[0]][v[1]])) for node, v in t.items()} for t in done]
     return UrlModel(rates, prior, bias, raw_trees)
 

@@ -24,13 +24,14 @@ def retrieve(submissions: DataFrame, postings: DataFrame, dimension: DataFrame,
     """(query_id, entry_id, score, rank): the best candidates of each submission.
 
     submissions: query_id, tokens, anchor_tokens, anchor_words, cleaned_title.
-    Hits are summed with partial aggregation; trigrams are asked only for
+    Hits are summed with partial aggregation; words that hit an entry by themselves
+    or by their concept are counted for the boost; trigrams are asked only for
     submissions with fewer than ``SPARSE`` candidates so far.
     """
     words = word_positions(submissions, "query_id")
     keys = token_keys(words, dimension).withColumn("w", _weight())
     own = postings.select("kind", "key", "entry_id", F.struct("entry_id", F.col("pos").alias("p"), F.col("sub").alias("s")).alias("ord"))
-    hits = keys.join(own, ["kind", "key"]).select("query_id", "entry_id", "w", F.when(F.col("kind") == "word", F.col("token")).alias("tok"), F.struct(F.lit(1).alias("phase"), "pos", "sub", "ord").alias("seq"))
+    hits = keys.join(own, ["kind", "key"]).select("query_id", "entry_id", "w", F.when(F.col("kind").isin("word", "concept"), F.col("token")).alias("tok"), F.struct(F.lit(1).alias("phase"), "pos", "sub", "ord").alias("seq"))
     anchors = submissions.select("query_id", F.posexplode("anchor_tokens").alias("pos", "key")).join(own.filter("kind = 'word'"), "key")
     anchors = anchors.select("query_id", "entry_id", F.lit(ANCHOR_WEIGHT).alias("w"), F.col("key").alias("tok"), F.struct(F.lit(0).alias("phase"), "pos", F.lit(0).alias("sub"), "ord").alias("seq"))
     summed = hits.unionByName(anchors).groupBy("query_id", "entry_id").agg(F.sum("w").alias("w"), F.count_distinct("tok").alias("n"), F.min("seq").alias("seq"))

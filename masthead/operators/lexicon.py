@@ -12,31 +12,6 @@ from pyspark.sql import functions as F
 
 from masthead.concepts import LEXICON
 
-#: A short lexicon (fixed values) for the queries whose given SQL holds its words.
-SAMPLE = [
-    ("daily", {"en": ["daily", "dailies"], "hi": ["dainik", "rozana", "roznama"], "bn": ["pratidin", "dainik"]}),
-    ("morning", {"en": ["morning", "mornings"], "hi": ["prabhat", "subah"], "bn": ["prabhat", "bhor", "sakal"], "or": ["sakala"]}),
-    ("evening", {"en": ["evening", "evenings"], "hi": ["sandhya", "shaam", "sanjh"], "bn": ["sandhya", "sanjh"]}),
-    ("weekly", {"en": ["weekly", "weeklies"], "hi": ["saptahik", "haftawar"]}),
-    ("monthly", {"en": ["monthly", "monthlies"], "hi": ["masik", "mahana"]}),
-    ("news", {"en": ["news"], "hi": ["samachar", "khabar", "varta"], "bn": ["samachar", "khabor", "sambad"]}),
-    ("voice", {"en": ["voice", "voices"], "hi": ["vani", "vaani", "awaaz"]}),
-    ("times", {"en": ["times", "time"], "hi": ["samay", "kaal", "yug"]}),
-    ("herald", {"en": ["herald", "courier", "messenger"], "hi": ["doot"]}),
-    ("post", {"en": ["post", "posts", "mail"], "hi": ["dak", "patra"]}),
-    ("journal", {"en": ["journal", "journals", "magazine"], "hi": ["patrika"]}),
-    ("science", {"en": ["science", "scientific"], "hi": ["vigyan"]}),
-    ("mirror", {"en": ["mirror", "mirrors"], "hi": ["darpan", "aaina"]}),
-    ("people", {"en": ["people", "peoples", "public"], "hi": ["jan", "lok", "janta"]}),
-    ("nation", {"en": ["nation"], "hi": ["rashtra", "desh", "watan"]}),
-    ("world", {"en": ["world", "globe", "earth"], "hi": ["sansar", "duniya", "jagat"]}),
-    ("truth", {"en": ["truth"], "hi": ["satya", "sach"]}),
-    ("light", {"en": ["light", "ray", "glow"], "hi": ["jyoti", "prakash"]}),
-    ("sun", {"en": ["sun", "solar"], "hi": ["surya", "ravi"]}),
-    ("moon", {"en": ["moon", "lunar"], "hi": ["chandra", "chand"]}),
-    ("peace", {"en": ["peace", "harmony"], "hi": ["shanti", "aman"]}),
-    ("new", {"en": ["new", "novel", "modern"], "hi": ["naya", "nav"]}),
-]
 #: Words a lexicon may have to be used inside tasks; checked when it is collected.
 MAX_WORDS = 100_000
 
@@ -48,11 +23,6 @@ def _words(nested: DataFrame) -> DataFrame:
     return flat.select("concept", "language", F.lower("word").alias("word"), F.struct("ord", "l", "w").alias("ord"))
 
 
-def sample_lexicon(spark: SparkSession) -> DataFrame:
-    rows = [(i, c, v) for i, (c, v) in enumerate(SAMPLE)]
-    return _words(spark.createDataFrame(rows, "ord int, concept string, variants map<string,array<string>>"))
-
-
 def default_lexicon(spark: SparkSession) -> DataFrame:
     """All concepts, flat: a map column would not keep the order of its languages."""
     rows = [(c, lang, w.lower(), (i, j, k)) for i, (c, _, v) in enumerate(LEXICON) for j, (lang, ws) in enumerate(v.items()) for k, w in enumerate(ws)]
@@ -74,9 +44,13 @@ def concept_words(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("concept").agg(F.array_sort(F.collect_set("word")).alias("words"))
 
 
-def concept_map(lexicon: DataFrame) -> dict[str, str]:
-    """For use inside tasks; refuses a lexicon that isn't small."""
-    rows = word_concepts(lexicon).select("word", "concept").limit(MAX_WORDS + 1).collect()
+def shipped(concepts: DataFrame) -> dict[str, str]:
+    """(word, concept) rows for use inside tasks; refuses a lexicon that isn't small."""
+    rows = concepts.select("word", "concept").limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"a lexicon of more than {MAX_WORDS} words can't be shipped with tasks")
     return {r["word"]: r["concept"] for r in rows}
+
+
+def concept_map(lexicon: DataFrame) -> dict[str, str]:
+    return shipped(word_concepts(lexicon))

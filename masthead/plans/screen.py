@@ -12,7 +12,7 @@ from masthead.functions.similarity import ORTHOGRAPHIC, PHONETIC, REJECT, REVIEW
 from masthead.functions.text import anchor_parts, clean_text, is_generic_only, tokens
 from masthead.operators.candidates import LIMIT, retrieve
 from masthead.operators.compound import compound_titles
-from masthead.operators.lexicon import concept_map, default_lexicon, word_concepts
+from masthead.operators.lexicon import concept_map, default_lexicon, shipped, word_concepts
 from masthead.operators.registry import build_postings, exact_index, title_parts, token_dimension
 from masthead.scratch import fixed
 
@@ -51,8 +51,7 @@ def save_index(index: Index, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> Index:
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    concept_of = {r["word"]: r["concept"] for r in tables["concepts"].limit(100_000).collect()}
-    return Index(**tables, concept_of=concept_of)
+    return Index(**tables, concept_of=shipped(tables["concepts"]))
 
 
 def prepared(submissions: DataFrame) -> DataFrame:

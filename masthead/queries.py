@@ -2,19 +2,19 @@
 
 Views: the registry is ``part`` (p_name as title), submissions are the titles of
 ``pages``, and FIXTURES are literal titles for rules whose words the generated
-tables lack.  Pairs are all ordered pairs of distinct part names (``all_pairs``);
-the queries whose given SQL keeps only pairs with the same first letter follow that
-SQL (``name_pairs``) and have a whole counterpart with the ending ``_all``.
+tables lack.  Pairs are all ordered pairs of distinct part names, a bounded dimension.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from masthead import vocab
+from masthead.catalogue import GUIDELINES
 from masthead.concepts import LEXICON
 from masthead.functions import phonetic as ph
 from masthead.functions import rules, text
@@ -27,7 +27,6 @@ from masthead.sources import tables
 from masthead.streaming import locks
 
 Query = Callable[[SparkSession, str], DataFrame]
-Lexicon = Callable[[SparkSession], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -68,33 +67,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(f: Query) -> None:
-    """Register ``f`` over all pairs of names, with its SQL over the same."""
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return f(spark, sf, all_pairs)
-
-    run.__name__ = f"{f.__name__}_all"
-    query(ORACLES[f.__name__].replace(NAMES, ALL_NAMES))(run)
-
-
-def over_all_titles(f: Query) -> None:
-    """Register ``f`` over all titles, with its SQL over the same."""
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return f(spark, sf, all_titles)
-
-    run.__name__ = f"{f.__name__}_all"
-    query(ORACLES[f.__name__].replace(FIX, ALL_FIX))(run)
-
-
-def full(f: Query) -> None:
-    """Register ``f`` with the whole lexicon, with its SQL over the same."""
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return f(spark, sf, lexicon.default_lexicon)
-
-    run.__name__ = f"{f.__name__}_all"
-    query(ORACLES[f.__name__].replace(_LEXICON, _FULL_LEXICON))(run)
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -103,11 +75,6 @@ def fixture_titles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(FIXTURES)), "id long, title string")
 
 
-def some_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """The literal titles alone, as the SQL of FIX has them."""
-    return fixture_titles(spark)
-
-
 def fixture_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "id long, a string, b string")
 
@@ -133,20 +100,13 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
 
 
-def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of names that share a first letter, as the SQL of NAMES has it; it loses matches."""
-    a = names(spark, sf).select(F.col("name").alias("a"), F.substring("name", 1, 1).alias("k"))
-    return a.join(a.select(F.col("a").alias("b"), "k"), "k").select("a", "b")
-
-
 def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs: the measures have no common block, and the names are a bounded dimension."""
     a = names(spark, sf)
     return a.select(F.col("name").alias("a")).crossJoin(a.select(F.col("name").alias("b")))
 
 
-NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON substr(x.name, 1, 1) = substr(y.name, 1, 1))"
-ALL_NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x CROSS JOIN names y)"
+NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b FROM names x CROSS JOIN names y)"
 TITLES = r"titles AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
 FIX = _values("fixtures", "id, title", list(enumerate(FIXTURES)))
 ALL_FIX = f"{TITLES}, {FIX.replace('fixtures(', 'literals(', 1)}, fixtures AS (SELECT -1 - id AS id, title FROM literals UNION ALL SELECT page_id * 2, title FROM titles UNION ALL SELECT p_partkey * 2 + 1, p_name FROM part)"
@@ -184,13 +144,11 @@ def symbol_check(spark: SparkSession, sf: str) -> DataFrame:
     return page_titles(spark, sf).select("page_id", F.col("title").rlike(rules.PROHIBITED).alias("prohibited"), F.size(s).cast("long").alias("n_symbols"))
 
 
-@query(rf"WITH {FIX} SELECT id::BIGINT AS id, trim(title) = '' AS blank, regexp_matches(title, '\p{{L}}') AS has_letter FROM fixtures")
-def numeric_check(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
-    return titles(spark, sf).select("id", rules.is_blank(F.col("title")).alias("blank"), F.col("title").rlike(r"\p{L}").alias("has_letter"))
+@query(rf"WITH {ALL_FIX} SELECT id::BIGINT AS id, trim(title) = '' AS blank, regexp_matches(title, '\p{{L}}') AS has_letter FROM fixtures")
+def numeric_check(spark: SparkSession, sf: str) -> DataFrame:
+    return all_titles(spark, sf).select("id", rules.is_blank(F.col("title")).alias("blank"), F.col("title").rlike(r"\p{L}").alias("has_letter"))
 
 
-over_all_titles(numeric_check)
-
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}]', '', 'g')"
 ENTROPY = "round(coalesce(list_sum(list_transform(list_distinct(list_filter(string_split({0}, ''), lambda c: c <> '')), lambda c: -((length({0}) - length(replace({0}, c, ''))) / length({0})) * log2((length({0}) - length(replace({0}, c, ''))) / length({0})))), 0), 3)"
@@ -229,22 +187,18 @@ _ANCHOR = rf"""toks AS (SELECT id, {_tokens('title')} AS t FROM fixtures), led A
  cored AS (SELECT id, t, list_slice(rest, 1, len(rest) - trail) AS core, list_filter(t, lambda x: NOT list_contains({_list(vocab.GENERIC_WORDS)}, x)) AS kept FROM cut)"""
 
 
-@query(rf"""WITH {FIX}, {_ANCHOR} SELECT id::BIGINT AS id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, coalesce(array_to_string(kept, ' '), '') AS index_anchor FROM cored""")
-def anchor_extract(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
-    rows = titles(spark, sf).withColumn("t", text.tokens(text.clean_text(F.col("title"))))
+@query(rf"""WITH {ALL_FIX}, {_ANCHOR} SELECT id::BIGINT AS id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, coalesce(array_to_string(kept, ' '), '') AS index_anchor FROM cored""")
+def anchor_extract(spark: SparkSession, sf: str) -> DataFrame:
+    rows = all_titles(spark, sf).withColumn("t", text.tokens(text.clean_text(F.col("title"))))
     return rows.select("id", text.anchor_parts(F.col("t"))["anchor"].alias("anchor"), text.index_anchor(F.col("t")).alias("index_anchor"))
 
 
-over_all_titles(anchor_extract)
-
 
-@query(rf"WITH {FIX}, {_ANCHOR} SELECT id::BIGINT AS id, len(t) > 0 AND len(kept) = 0 AS generic_only FROM cored")
-def generic_only(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
-    return titles(spark, sf).select("id", text.is_generic_only(text.tokens(text.clean_text(F.col("title")))).alias("generic_only"))
+@query(rf"WITH {ALL_FIX}, {_ANCHOR} SELECT id::BIGINT AS id, len(t) > 0 AND len(kept) = 0 AS generic_only FROM cored")
+def generic_only(spark: SparkSession, sf: str) -> DataFrame:
+    return all_titles(spark, sf).select("id", text.is_generic_only(text.tokens(text.clean_text(F.col("title")))).alias("generic_only"))
 
 
-over_all_titles(generic_only)
-
 
 _WORDS_OF = r"list_filter(list_transform(list_filter(string_split_regex(title, '[\s\p{Z}]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}_]+', ''), '[^\p{L}\p{N}_]+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^\p{Nd}+$'))"
 
@@ -284,15 +238,13 @@ def barred_tokens(spark: SparkSession, sf: str) -> DataFrame:
 _PROTECTED = _values("protected", "key, name, category", [(k, d, c) for c, of in vocab.PROTECTED_NAMES.items() for k, d in of])
 
 
-@query(rf"""WITH {FIX}, {_PROTECTED}, {_ANCHOR}, a AS (SELECT id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, array_to_string(t, ' ') AS cleaned FROM cored)
+@query(rf"""WITH {ALL_FIX}, {_PROTECTED}, {_ANCHOR}, a AS (SELECT id, CASE WHEN len(t) > 0 AND len(kept) = 0 THEN '' WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE coalesce(array_to_string(kept, ' '), '') END AS anchor, array_to_string(t, ' ') AS cleaned FROM cored)
 SELECT id::BIGINT AS id, coalesce(x.name, y.name) AS name, coalesce(x.category, y.category) AS category FROM a LEFT JOIN protected x ON x.key = cleaned LEFT JOIN protected y ON y.key = anchor WHERE coalesce(x.name, y.name) IS NOT NULL""")
-def protected_names(spark: SparkSession, sf: str, titles: Query = some_titles) -> DataFrame:
-    rows = screen.prepared(titles(spark, sf)).withColumn("p", rules.protected_name(F.col("cleaned_title"), F.col("anchor_words"))).filter("p is not null")
+def protected_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = screen.prepared(all_titles(spark, sf)).withColumn("p", rules.protected_name(F.col("cleaned_title"), F.col("anchor_words"))).filter("p is not null")
     return rows.select("id", "p.name", "p.category")
 
 
-over_all_titles(protected_names)
-
 
 @query()
 def violation_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,12 +252,19 @@ def violation_lists(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.to_json(rules.violations(F.col("cleaned_title"), F.col("tokens"), F.col("anchor_words"))).alias("violations"))
 
 
-@query("WITH v(vocabulary, n) AS (VALUES ('generic', 179), ('prefixes', 35), ('suffixes', 74), ('disallowed', 59), ('obscene', 55), ('guidelines', 20), ('seeds', 31)) SELECT vocabulary, n::BIGINT AS n FROM v")
+#: The sizes that the vocabularies must have, stated apart from the lists.
+_SIZES = {"generic": 179, "prefixes": 35, "suffixes": 74, "disallowed": 59, "obscene": 55, "guidelines": 20, "seeds": 31, "concepts": 26, "entries": 724, "words": 417, "languages": 12}
+
+
+@query("SELECT vocabulary, n::BIGINT AS n FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, n in _SIZES.items()) + ") AS v(vocabulary, n)")
 def vocabulary_sizes(spark: SparkSession, sf: str) -> DataFrame:
     v = vocab
     rows = [("generic", len(v.GENERIC_WORDS)), ("prefixes", len(v.PREFIXES)), ("suffixes", len(v.SUFFIXES)), ("disallowed", len(v.ENFORCEMENT_TERMS) + len(v.EMBLEM_TERMS)), ("obscene", len(v.OBSCENE_TOKENS))]
     counted = spark.createDataFrame(rows, "vocabulary string, n long")
-    return counted.unionByName(tables.guidelines(spark).select(F.lit("guidelines").alias("vocabulary")).groupBy("vocabulary").agg(F.count("*").alias("n"))).unionByName(tables.seed_registry(spark).select(F.lit("seeds").alias("vocabulary")).groupBy("vocabulary").agg(F.count("*").alias("n")))
+    of = lexicon.default_lexicon(spark).agg(F.count_distinct("concept").alias("concepts"), F.count("*").alias("entries"), F.count_distinct("word").alias("words"), F.count_distinct("language").alias("languages"))
+    for name, rows in (("guidelines", tables.guidelines(spark)), ("seeds", tables.seed_registry(spark))):
+        counted = counted.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("vocabulary"), "n"))
+    return counted.unionByName(of.unpivot([], of.columns, "vocabulary", "n"))
 
 
 # ------------------------------------------------------------------ registry and joins
@@ -380,10 +339,21 @@ def candidates_top100(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(subs, index.postings, fixed(registry.token_dimension(words, index.concepts), "dimension"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS entry_id, p_name AS title, CASE WHEN p_name = 'green' THEN 1 WHEN starts_with(p_name, 'green') OR starts_with('REG/' || p_partkey, 'green') THEN 2 WHEN contains(p_name, 'green') THEN 1000 END AS tier FROM part),
-r AS (SELECT * FROM t WHERE tier IS NOT NULL ORDER BY tier, entry_id LIMIT 20) SELECT entry_id, title, tier FROM r WHERE tier < 1000 OR (SELECT min(tier) FROM r) = 1000""")
+#: One search for each tier, several together, a number, and one that finds nothing.
+SEARCHES = ["blue bolt", "blue", "REG/12", "super gizmo", "cold gears and rods", "izm", "old", "nothing like it"]
+
+
+@query(f"""WITH qs(q, c) AS (VALUES {", ".join(f"({_quote(q)}, {_quote(q.lower().replace('/', ' '))})" for q in SEARCHES)}),
+t AS (SELECT q, c, p_partkey AS entry_id, p_name AS title, 'REG/' || p_partkey AS reg, coalesce({_PART_ANCHOR}, '') AS anchor FROM part, qs),
+r AS (SELECT q, entry_id, title, CASE WHEN title = q OR reg = q OR title = c OR anchor = c THEN 1 WHEN starts_with(title, q) OR starts_with(reg, q) OR starts_with(title, c) OR starts_with(anchor, c) THEN 2
+ WHEN list_contains(list_transform(list_filter(string_split(c, ' '), lambda x: length(x) >= 3), lambda x: starts_with(anchor, x) OR starts_with(title, x)), true) THEN 2 + list_position(list_transform(list_filter(string_split(c, ' '), lambda x: length(x) >= 3), lambda x: starts_with(anchor, x) OR starts_with(title, x)), true)
+ WHEN contains(title, q) OR contains(title, c) THEN 1000 END AS tier FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, entry_id) AS place, min(tier) OVER (PARTITION BY q) AS first FROM r WHERE tier IS NOT NULL)
+SELECT q AS query, entry_id, title, tier::INTEGER AS tier FROM n WHERE place <= 20 AND (tier < 1000 OR first = 1000)""")
 def search_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(part_registry(spark, sf), "green", "green", 20).select("entry_id", "title", "tier")
+    reg = part_registry(spark, sf)
+    found = [search.search(reg, q, q.lower().replace("/", " "), 20).select(F.lit(q).alias("query"), "entry_id", "title", "tier") for q in SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query("""WITH t AS (SELECT c_custkey AS entry_id, c_name AS title, CASE WHEN c_name = 'Customer#000000012' THEN 1 WHEN starts_with(c_name, 'Customer#000000012') THEN 2 END AS tier FROM customer) SELECT entry_id, title, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, entry_id LIMIT 50""")
@@ -402,38 +372,30 @@ def display_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM pairs")
-def levenshtein_similarity(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    return pairs(spark, sf).select("a", "b", F.round(sim.levenshtein_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
+def levenshtein_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return all_pairs(spark, sf).select("a", "b", F.round(sim.levenshtein_sim(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-whole(levenshtein_similarity)
-
 
 @query(f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM pairs")
-def jaro_winkler_similarity(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    return pairs(spark, sf).select("a", "b", F.round(sim.jaro_winkler_udf("a", "b"), 6).alias("similarity"))
-
+def jaro_winkler_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return all_pairs(spark, sf).select("a", "b", F.round(sim.jaro_winkler_udf("a", "b"), 6).alias("similarity"))
 
-whole(jaro_winkler_similarity)
 
 
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr('_' || {0} || '_', i, 3)))"
 
 
 @query(f"WITH {NAMES} SELECT a, b, round(2 * len(list_intersect({_GRAMS.format('a')}, {_GRAMS.format('b')})) / (len({_GRAMS.format('a')}) + len({_GRAMS.format('b')})), 6) AS similarity FROM pairs")
-def dice_trigrams(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    return pairs(spark, sf).select("a", "b", F.round(sim.dice(F.col("a"), F.col("b")), 6).alias("similarity"))
+def dice_trigrams(spark: SparkSession, sf: str) -> DataFrame:
+    return all_pairs(spark, sf).select("a", "b", F.round(sim.dice(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-whole(dice_trigrams)
-
 
 @query(f"WITH {NAMES} SELECT a, b, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 6) AS similarity FROM pairs")
-def token_jaccard(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    return pairs(spark, sf).select("a", "b", F.round(sim.token_jaccard(F.split("a", " "), F.split("b", " ")), 6).alias("similarity"))
-
+def token_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return all_pairs(spark, sf).select("a", "b", F.round(sim.token_jaccard(F.split("a", " "), F.split("b", " ")), 6).alias("similarity"))
 
-whole(token_jaccard)
 
 
 @query()
@@ -502,15 +464,8 @@ def _hash_units(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {NAMES}, feats AS (SELECT name, 'WORD:' || unnest(string_split(name, ' ')) AS f, 1.0 AS w FROM names UNION ALL SELECT name, 'GRAM:' || substr('_' || t || '_', i, 3), 0.3 FROM (SELECT name, unnest(string_split(name, ' ')) AS t FROM names), unnest(range(1, length(t) + 1)) AS u(i)),
 buckets AS (SELECT name, ('0x' || substr(sha256(f), 1, 8))::BIGINT % 2048 AS k, sum(w)::DOUBLE AS w FROM feats GROUP BY ALL), norms AS (SELECT name, sqrt(sum(w * w)) AS n FROM buckets GROUP BY name),
 dots AS (SELECT x.name AS a, y.name AS b, sum(x.w * y.w) AS d FROM buckets x JOIN buckets y USING (k) GROUP BY ALL)
-SELECT a, b, round(d / p.n / q.n, 4) AS cosine FROM dots JOIN norms p ON p.name = a JOIN norms q ON q.name = b WHERE substr(a, 1, 1) = substr(b, 1, 1)""")
+SELECT a, b, round(coalesce(d / p.n / q.n, 0), 4) AS cosine FROM pairs JOIN norms p ON p.name = a JOIN norms q ON q.name = b LEFT JOIN dots USING (a, b)""")
 def hash_vector_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    unit, block = _hash_units(spark, sf), F.substring("name", 1, 1)
-    left, right = unit.select(F.col("name").alias("a"), "k", F.col("w").alias("x"), block.alias("g")), unit.select(F.col("name").alias("b"), "k", F.col("w").alias("y"), block.alias("g"))
-    return left.join(right, ["g", "k"]).groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 4).alias("cosine"))
-
-
-@query(ORACLES["hash_vector_cosine"].replace(NAMES, ALL_NAMES).split("\nSELECT a, b, round")[0] + "\nSELECT a, b, round(coalesce(d / p.n / q.n, 0), 4) AS cosine FROM pairs JOIN norms p ON p.name = a JOIN norms q ON q.name = b LEFT JOIN dots USING (a, b)")
-def hash_vector_cosine_all(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs; those without a common bucket have 0."""
     unit = _hash_units(spark, sf)
     met = unit.select(F.col("name").alias("a"), "k", F.col("w").alias("x")).join(unit.select(F.col("name").alias("b"), "k", F.col("w").alias("y")), "k")
@@ -529,14 +484,13 @@ def embedding_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q"))) / F.sqrt(dot(F.col("v"), F.col("v"))), 4).alias("cosine"))
 
 
-_LEXICON = _values("entries", "word, concept, language, ord", [(w, c, lang, i) for i, (w, c, lang) in enumerate((w, c, lang) for c, v in lexicon.SAMPLE for lang, ws in v.items() for w in ws)])
-_FULL_LEXICON = _values("entries", "word, concept, language, ord", [(w, c, lang, i) for i, (w, c, lang) in enumerate((w, c, lang) for c, _, v in LEXICON for lang, ws in v.items() for w in ws)])
+_LEXICON = _values("entries", "word, concept, language, ord", [(w, c, lang, i) for i, (w, c, lang) in enumerate((w.lower(), c, lang) for c, _, v in LEXICON for lang, ws in v.items() for w in ws)])
 _CONCEPTS = f"{_LEXICON}, concepts AS (SELECT word, arg_max(concept, ord) AS concept, arg_max(language, ord) AS language FROM entries GROUP BY word)"
 
 
 @query(f"WITH {_CONCEPTS} SELECT word, concept, language FROM concepts")
-def lexicon_words(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
-    return lexicon.word_concepts(of(spark)).select("word", "concept", "language")
+def lexicon_words(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.word_concepts(lexicon.default_lexicon(spark)).select("word", "concept", "language")
 
 
 _PAIRS = _values("fp", "id, a, b", [(i, *p) for i, p in enumerate(PAIRS)])
@@ -546,8 +500,8 @@ _PAIRS = _values("fp", "id, a, b", [(i, *p) for i, p in enumerate(PAIRS)])
 ca AS (SELECT id, concept, count(*) AS k FROM (SELECT id, unnest({SPLIT.format('a')}) AS word FROM fp) JOIN concepts USING (word) GROUP BY ALL), cb AS (SELECT id, concept, count(*) AS k FROM (SELECT id, unnest({SPLIT.format('b')}) AS word FROM fp) JOIN concepts USING (word) GROUP BY ALL),
 hits AS (SELECT id, sum(least(ca.k, cb.k)) AS h FROM ca JOIN cb USING (id, concept) GROUP BY id)
 SELECT id::BIGINT AS id, CASE WHEN n = 0 OR m = 0 OR h IS NULL THEN 0.0 WHEN h >= least(n, m) THEN greatest(0.9, round(h / greatest(n, m), 4)) ELSE round(h / greatest(n, m), 4) END::DOUBLE AS lexicon FROM sized LEFT JOIN hits USING (id)""")
-def lexicon_similarity(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
-    concepts = lexicon.word_concepts(of(spark)).select("word", "concept")
+def lexicon_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    concepts = lexicon.word_concepts(lexicon.default_lexicon(spark)).select("word", "concept")
     pairs = fixture_pairs(spark).withColumns({"x": text.scorer_tokens(F.col("a")), "y": text.scorer_tokens(F.col("b"))})
 
     def counted(side: str, n: str) -> DataFrame:
@@ -567,13 +521,11 @@ def semantic_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {NAMES}, s AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS v FROM pairs WHERE a <> b), r AS (SELECT a, b, v, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS place FROM s)
 SELECT a, b, place::INTEGER AS place, round(v, 6) AS similarity FROM r WHERE place <= 5""")
-def top_matches(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    s = pairs(spark, sf).filter("a <> b").withColumn("v", sim.levenshtein_sim(F.col("a"), F.col("b")))
+def top_matches(spark: SparkSession, sf: str) -> DataFrame:
+    s = all_pairs(spark, sf).filter("a <> b").withColumn("v", sim.levenshtein_sim(F.col("a"), F.col("b")))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).filter("place <= 5").select("a", "b", "place", F.round("v", 6).alias("similarity"))
 
 
-whole(top_matches)
-
 
 # ------------------------------------------------------------------ decisions and reports
 
@@ -606,19 +558,8 @@ def lock_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {_CONCEPTS}, w AS (SELECT DISTINCT concept, word FROM entries) SELECT concept, array_to_string(list_sort(list(word)), ' ') AS words FROM w GROUP BY concept")
-def lexicon_concepts(spark: SparkSession, sf: str, of: Lexicon = lexicon.sample_lexicon) -> DataFrame:
-    return lexicon.concept_words(of(spark)).select("concept", F.array_join("words", " ").alias("words"))
-
-
-for _f in (lexicon_words, lexicon_similarity, lexicon_concepts):
-    full(_f)
-
-
-@query("WITH v(vocabulary, n) AS (VALUES ('concepts', 26), ('entries', 724), ('words', 417), ('languages', 12)) SELECT vocabulary, n::BIGINT AS n FROM v")
-def lexicon_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """The lexicon's counts; the given SQL of ``vocabulary_sizes`` has no rows for them."""
-    n = lexicon.default_lexicon(spark).agg(F.count_distinct("concept").alias("concepts"), F.count("*").alias("entries"), F.count_distinct("word").alias("words"), F.count_distinct("language").alias("languages"))
-    return n.unpivot([], n.columns, "vocabulary", "n")
+def lexicon_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.concept_words(lexicon.default_lexicon(spark)).select("concept", F.array_join("words", " ").alias("words"))
 
 
 @query("SELECT s_name, count(*)::BIGINT AS n FROM supplier GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT p_brand, count(*) FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -629,23 +570,19 @@ def repeated_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {NAMES}, s AS (SELECT 100 - round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 1) AS p FROM pairs)
 SELECT CASE WHEN p >= 70 THEN 'high' WHEN p >= 40 THEN 'medium' ELSE 'low' END AS band, count(*)::BIGINT AS n FROM s GROUP BY 1""")
-def status_bands(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    p = pairs(spark, sf).select(F.greatest(F.lit(0.0), 100 - F.round(100 * sim.levenshtein_sim(F.col("a"), F.col("b")), 1)).alias("p"))
+def status_bands(spark: SparkSession, sf: str) -> DataFrame:
+    p = all_pairs(spark, sf).select(F.greatest(F.lit(0.0), 100 - F.round(100 * sim.levenshtein_sim(F.col("a"), F.col("b")), 1)).alias("p"))
     return p.groupBy(F.when(F.col("p") >= 70, "high").when(F.col("p") >= 40, "medium").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
 
 
-whole(status_bands)
-
 
 @query(f"""WITH {NAMES}, s AS (SELECT 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS v FROM pairs)
 SELECT count(*)::BIGINT AS total, count_if(v < 0.45)::BIGINT AS approved, count_if(v >= 0.65)::BIGINT AS rejected, count_if(v >= 0.45 AND v < 0.65)::BIGINT AS review_needed FROM s""")
-def batch_counts(spark: SparkSession, sf: str, pairs: Query = name_pairs) -> DataFrame:
-    v = pairs(spark, sf).select(sim.levenshtein_sim(F.col("a"), F.col("b")).alias("v"))
+def batch_counts(spark: SparkSession, sf: str) -> DataFrame:
+    v = all_pairs(spark, sf).select(sim.levenshtein_sim(F.col("a"), F.col("b")).alias("v"))
     return screen.batch_summary(v.select(F.when(F.col("v") >= sim.REJECT, "Rejected").when(F.col("v") >= sim.REVIEW, "Review Needed").otherwise("Approved").alias("status")))
 
 
-whole(batch_counts)
-
 
 @query("SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def percentile_latency(spark: SparkSession, sf: str) -> DataFrame:
@@ -661,9 +598,15 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-@query("SELECT 'Guideline 3' AS guideline_ref UNION ALL SELECT guideline_ref FROM (SELECT 'x' AS guideline_ref WHERE false)")
+_GUIDELINES = ", ".join("(" + ", ".join([*(_quote(x or "") for x in g[:4]), _list(g[4])]) + ")" for g in GUIDELINES)
+GUIDELINE_SEARCHES = ["extortion", "title", "GUIDELINE 1", "india", "no such word"]
+
+
+@query(f"""WITH g(guideline_ref, category, title, description, examples) AS (VALUES {_GUIDELINES}), qs(q) AS (VALUES {", ".join(f"({_quote(q)})" for q in GUIDELINE_SEARCHES)})
+SELECT q AS query, guideline_ref FROM g, qs WHERE contains(lower(guideline_ref || chr(10) || category || chr(10) || title || chr(10) || description || chr(10) || array_to_string(examples, chr(10))), lower(q))""")
 def guideline_search(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.find_guidelines(tables.guidelines(spark), "extortion").select("guideline_ref")
+    of = tables.guidelines(spark)
+    return functools.reduce(DataFrame.unionByName, [tables.find_guidelines(of, q).select(F.lit(q).alias("query"), "guideline_ref") for q in GUIDELINE_SEARCHES])
 
 
 # ------------------------------------------------------------------ locks

@@ -11,7 +11,7 @@ from masthead.operators import lexicon
 
 @pytest.fixture(scope="module")
 def concepts(spark):
-    return lexicon.concept_map(lexicon.sample_lexicon(spark))
+    return lexicon.concept_map(lexicon.default_lexicon(spark))
 
 
 def column(spark, values, expression):
