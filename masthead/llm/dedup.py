@@ -5,10 +5,14 @@ filter and keeps the cells that more than one row hit.  The second pass asks
 that filter about each row: a row with a cell that nobody else hit is unique and
 passes straight through; only the possibly repeated rows shuffle, by digest.
 
-The filter is broadcast.  It has 16 bits a row, rounded up to a power of two,
-and never more than ``2 ** MAX_BITS`` bits (16 MiB), whatever the input.  Beyond
-8 million rows it gets denser and more unique rows take the shuffle (digests
-and ids only, in the report); results stay the same.
+The filter has ``BITS_PER_ROW`` bits a row, rounded up to a power of two, and is
+broadcast in parts of at most ``2 ** MAX_BITS`` bits (16 MiB): beyond 8 million rows
+the space of digests is dealt into ranges by a hash, and each range has a filter of
+its own, built and asked one after the other over rows that lie sorted by range.  So
+the filter grows with the rows and the share of unique rows that shuffle doesn't.
+
+The first pass shuffles the two cells of each row, 16 bytes, and not bitmaps: a
+bitmap of all cells from every task would be 2 bytes a row *and task*.
 
 Defined results: null text counts as the empty text; of equal texts the smallest
 id stays, null ids last, and of repeated ids one row.  An empty table gives no
@@ -18,11 +22,12 @@ rows.  Other columns, whatever their names, are carried by ``exact_dedup``.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masthead.llm.shared import materialize
+from masthead.llm.shared import materialize, scratch_root
 
 MAX_BITS = 27
 BITS_PER_ROW = 16
@@ -46,6 +51,10 @@ def _blocks(rows: int) -> int:
     return 2**bits // BLOCK
 
 
+def _ranges(rows: int) -> int:
+    return max(1, math.ceil(rows * BITS_PER_ROW / 2**MAX_BITS))
+
+
 def _cells(sha: Column, blocks: int) -> tuple[Column, Column, Column]:
     """Block, and two places in it."""
     h = F.xxhash64(sha)
@@ -75,16 +84,28 @@ def maybe_repeated(rows: DataFrame, cells: DataFrame, blocks: int, sha: str = "_
     return found.withColumn("__maybe", F.coalesce(bit(a) & bit(b), F.lit(False))).drop("__block", "__bits")
 
 
+def _asked(rows: DataFrame, total: int) -> DataFrame:
+    """The rows with ``__maybe``, from two passes over each range of their ``__sha``."""
+    ranges = _ranges(total)
+    blocks = _blocks(-(-total // ranges))
+    if ranges == 1:
+        return maybe_repeated(rows, materialize(repeated_cells(rows.select("__sha"), blocks), "dedup-cells"), blocks)
+    dealt = materialize(rows.withColumn("__range", F.pmod(F.xxhash64("__sha", F.lit(2)), F.lit(ranges)).cast("int")).sortWithinPartitions("__range"), "dedup-ranges")
+    path = f"{scratch_root(rows.sparkSession).rstrip('/')}/masthead/dedup-asked-{uuid.uuid4().hex}"
+    for r in range(ranges):
+        mine = dealt.filter(F.col("__range") == r).drop("__range")
+        found = maybe_repeated(mine, materialize(repeated_cells(mine.select("__sha"), blocks), "dedup-cells"), blocks)
+        found.write.parquet(f"{path}/{r}")
+    return rows.sparkSession.read.schema(found.schema).parquet(f"{path}/*")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
     Unique rows stay in their partitions.  The others are reduced on the map
     side first, so a group of copies sends at most one row from each task.
     """
-    blocks = _blocks(docs.count())
-    rows = docs.withColumn("__sha", digest(text_col))
-    cells = materialize(repeated_cells(rows.select("__sha"), blocks), "dedup-cells")
-    asked = maybe_repeated(rows, cells, blocks)
+    asked = _asked(docs.withColumn("__sha", digest(text_col)), docs.count())
     order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.xxhash64(text_col).alias("c"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     best = asked.filter("__maybe").groupBy("__sha").agg(F.min_by(whole, order).alias("__row"))
@@ -100,8 +121,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     seen = materialize(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("__sha"), F.monotonically_increasing_id().alias("__row")), "dedup-digests")
     total = seen.count()
-    blocks = _blocks(total)
-    asked = maybe_repeated(seen, materialize(repeated_cells(seen, blocks), "dedup-cells"), blocks)
+    asked = _asked(seen, total)
     suspects = asked.filter("__maybe").drop("__maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("__row").alias("c")))
     groups = materialize(suspects.groupBy("__sha").agg(first.alias("f"), F.count("*").alias("group_size")).select("__sha", F.col("f.b").alias("keep_id"), F.col("f.c").alias("__first"), "group_size"), "dedup-groups")

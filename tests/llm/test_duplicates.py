@@ -151,11 +151,18 @@ def test_exact_edges(spark):
     assert dedup.dedup_report(none).count() == 0 and dedup.exact_dedup(none).count() == 0
 
 
-def test_bloom_filter_never_misses(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "MAX_BITS", 15)  # a crowded filter: more rows shuffle, results stay
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = dedup.dedup_report(docs)
-    assert got.filter("kept").count() == docs.select(dedup.digest()).distinct().count()
+def test_filter_grows_with_the_rows(spark, monkeypatch):
+    """With a filter that is full, ranges keep the share of unique rows that shuffle low."""
+    monkeypatch.setattr(dedup, "MAX_BITS", 15)
+    texts = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 100 < 5, F.col("id") % 50).otherwise(F.col("id"))).alias("text"))
+    assert dedup._ranges(9_000) == 5
+    asked = dedup._asked(texts.withColumn("__sha", dedup.digest()), 9_000)
+    unique = asked.filter("doc_id % 100 >= 5")
+    assert unique.filter("__maybe").count() < 0.05 * unique.count()
+    assert asked.filter("doc_id % 100 < 5 and not __maybe").count() == 0 and asked.count() == 9_000
+    assert dedup.dedup_report(texts).filter("kept").count() == texts.select("text").distinct().count()
+    kept = dedup.exact_dedup(texts)
+    assert kept.columns == texts.columns and kept.count() == texts.select("text").distinct().count()
 
 
 def test_dedup_is_native(spark):
