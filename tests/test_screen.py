@@ -1,8 +1,16 @@
 """The funnel, its index, search, suggestions and locks."""
 
+import random
+from collections import defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
-from masthead.operators import search, suggest
+from masthead import vocab
+from masthead.functions.phonetic import double_metaphone, indic_soundex_py
+from masthead.operators import lexicon, search, suggest
+from masthead.operators.candidates import retrieve
+from masthead.operators.registry import build_registry, token_dimension
 from masthead.plans import apply, screen
 from masthead.sources import tables
 from masthead.streaming import locks
@@ -126,3 +134,82 @@ def test_guidelines(spark):
 def test_duplicate_numbers(spark):
     rows = spark.createDataFrame([("1",), ("1",), ("2",)], "registration_no string")
     assert [r.registration_no for r in tables.repeated_numbers(rows).collect()] == ["1"]
+
+
+def retrieved_by_hand(titles, submissions, concept):
+    """Scores and ranks by plain loops over postings; titles and submissions: {id: title}."""
+    def words(title):
+        return title.lower().split()
+
+    def anchor(title):
+        return [w for w in words(title) if w not in vocab.GENERIC_WORDS]
+
+    def grams(title):
+        padded = "_" + (" ".join(anchor(title)) or title.lower()) + "_"
+        return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+    def keys(w):
+        first, second = double_metaphone(w)
+        found = [("word", w, 0, 30), ("phon", first, 1, 15), ("phon", second if second != first else "", 2, 12), ("indic", indic_soundex_py(w), 3, 15), ("concept", concept.get(w), 4, 30)]
+        return [k for k in found if k[1]] if len(w) >= 2 else []
+
+    postings = defaultdict(list)
+    for entry in sorted(titles):
+        for pos, w in enumerate(words(titles[entry])):
+            for kind, key, sub, _ in keys(w):
+                postings[kind, key].append((entry, pos, sub))
+        for pos, g in enumerate(grams(titles[entry])):
+            postings["gram", g].append((entry, pos, 0))
+    for (kind, _), rows in postings.items():
+        rows.sort()
+        del rows[{"phon": 120, "indic": 120, "gram": 50}.get(kind, len(rows)) :]
+    out = {}
+    for query, title in submissions.items():
+        score, first, matched = defaultdict(int), {}, defaultdict(set)
+
+        def hit(posting, w, seq, word=None, score=score, first=first, matched=matched):
+            score[posting[0]] += w
+            first[posting[0]] = min(first.get(posting[0], (9,)), (*seq, posting))
+            if word:
+                matched[posting[0]].add(word)
+
+        for pos, w in enumerate(anchor(title)):
+            for p in postings["word", w]:
+                hit(p, 40, (0, pos, 0), w)
+        for pos, w in enumerate(words(title)):
+            for kind, key, sub, weight in keys(w):
+                for p in postings[kind, key]:
+                    hit(p, weight, (1, pos, sub), w if kind in ("word", "concept") else None)
+        for entry, ws in matched.items():
+            if len(ws) > 1:
+                score[entry] += 40 * len(ws)
+        if len(score) < 30:
+            for pos, g in enumerate(grams(title)):
+                for p in postings["gram", g]:
+                    hit(p, 8, (2, pos, 0))
+        best = sorted(score, key=lambda e: (-score[e], first[e]))[:100]
+        out |= {(query, e): (score[e], i + 1) for i, e in enumerate(best)}
+    return out
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["morning", "prabhat", "daily", "dainik", "news", "samachar", "times", "samay", "herald", "voice", "vani", "india", "bharat", "delta", "aurora", "namaskar", "namascar", "kerala", "pune", "solar", "river", "stone", "garden", "lotus", "x", "zebra", "quartz", "evening", "sandhya", "the", "of"]
+    pool += ["".join(rng.choice("bcdklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(150)]
+    titles = {i: " ".join(rng.choices(pool, k=rng.randrange(1, 5))).title() for i in range(1500)}
+    submissions = {i: " ".join(rng.choices(pool, k=rng.randrange(1, 5))).title() for i in range(150)} | {900: "Prabhat Dainik", 901: "Morning Daily", 902: "Wholly Unheard"}
+    rows = spark.createDataFrame([(i, t, f"R{i}", "English", "National", "Daily", "") for i, t in titles.items()], "entry_id long, title string, registration_no string, language string, state string, periodicity string, publisher string")
+    index = screen.build_index(build_registry(rows))
+    subs = screen.prepared(spark.createDataFrame(list(submissions.items()), "query_id long, title string"))
+    subs = subs.select("query_id", "cleaned_title", "tokens", F.expr("array_join(filter(tokens, t -> not array_contains(array(" + ",".join(f"'{w}'" for w in vocab.GENERIC_WORDS) + "), t)), ' ')").alias("anchor_words"))
+    subs = subs.withColumn("anchor_tokens", F.expr("filter(split(anchor_words, ' '), t -> t <> '')"))
+    words = subs.select(F.explode("tokens").alias("word")).distinct().select(F.array("word").alias("tokens"))
+    got = retrieve(subs, index.postings, token_dimension(words, index.concepts))
+    assert {(r.query_id, r.entry_id): (r.score, r["rank"]) for r in got.collect()} == retrieved_by_hand(titles, submissions, index.concept_of)
+
+
+def test_an_index_with_too_many_words_is_refused(spark, index, tmp_path, monkeypatch):
+    screen.save_index(index, str(tmp_path / "index"))
+    monkeypatch.setattr(lexicon, "MAX_WORDS", 10)
+    with pytest.raises(ValueError):
+        screen.load_index(spark, str(tmp_path / "index"))
