@@ -99,7 +99,9 @@ def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> No
 
 def _runs(n: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of frames that hold about ``BATCH_SAMPLES`` samples; a frame stays whole."""
-    chunk = (np.cumsum(n) - n) // BATCH_SAMPLES
+    total = int(n.sum())
+    size = -(-total // max(1, round(total / BATCH_SAMPLES)))  # runs of like size: a short one costs as much as a full one
+    chunk = (np.cumsum(n) - n) // max(1, size)
     cuts = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(n)]
     return list(zip(cuts, cuts[1:], strict=False))
 
@@ -538,12 +540,13 @@ def media_digests(media: DataFrame, block: int = PCM_SAMPLES) -> DataFrame:
             if kinds is None:
                 kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             rows = []
-            for place, number in enumerate(batch.column("block").to_pylist()):
+            fixed = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")), strict=True)
+            for number, pcm, own in zip(batch.column("block").to_pylist(), batch.column("pcm"), fixed, strict=True):
                 if number == 0:
                     if now:
                         rows.append(row())
-                    now = [tuple(batch.column(c)[place].as_py() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")), 0, hashlib.sha256(), b"", Feature()]
-                x = np.frombuffer(batch.column("pcm")[place].as_buffer(), np.int8)
+                    now = [own, 0, hashlib.sha256(), b"", Feature()]
+                x = np.frombuffer(pcm.as_buffer(), np.int8)
                 data = x.view(np.uint8) ^ np.uint8(0x80)
                 now[1] += len(x)
                 now[2].update(data)
