@@ -28,7 +28,7 @@ from pathlib import Path
 from masthead.llm.shared import AT_TASK_END
 
 #: Bytes of units and ids kept during a task; the cache starts afresh beyond it.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 144 << 20
 #: Bytes of a cache entry besides its strings.
 ENTRY_BYTES = 100
 #: Units of more characters are not kept.
