@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masthead.llm.shared import lean, materialize
-from masthead.llm.tokens import CACHE_BYTES, encoder
+from masthead.llm.tokens import KEPT_BYTES, encoder
 
 #: Pieces that a partition packs at once; bounds a worker's memory.
 CHUNK_PIECES = 20_000
@@ -89,18 +89,19 @@ def _merged(bins: list[dict], capacity: int, slack: int) -> list[dict]:
     return out
 
 
-def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_bytes: int = KEPT_BYTES, keep_cache: bool = True) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     slack: a bin with at most so much room left is closed where it is made.
-    cache_bytes: the bound of a worker's unit cache, for executors with less memory.
+    cache_bytes, keep_cache: the bound of a worker's unit cache, and whether its next
+    tasks have it; for executors with less memory or other stages.
     """
     schema = _bin_schema(docs.schema[id_col].dataType)
     arrow = pa.schema([("size", pa.int32()), ("closed", pa.bool_())])
     end = int(end_id).to_bytes(4, "little")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pieces = encoder(definition, cache_bytes), []
+        own, pieces = encoder(definition, cache_bytes, keep_cache), []
 
         def packed() -> pa.RecordBatch:
             bins = _merged(pieces, capacity, slack)

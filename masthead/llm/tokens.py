@@ -29,6 +29,8 @@ from masthead.llm.shared import AT_TASK_END
 
 #: Bytes of units and ids kept during a task; the cache starts afresh beyond it.
 CACHE_BYTES = 144 << 20
+#: The same for operators that leave the cache to a worker's next tasks.
+KEPT_BYTES = 288 << 20
 #: Bytes of a cache entry besides its strings.
 ENTRY_BYTES = 100
 #: Units of more characters are not kept.
@@ -85,7 +87,7 @@ class CachedEncoder:
         self.around = around_added(self.added)
         self.newline, *stops = self._whole(["\n", ".", ","])
         self.stops = dict(zip(".,", stops, strict=True))
-        self.cache_bytes = CACHE_BYTES
+        self.cache_bytes, self.keeps = CACHE_BYTES, False
         self.held = 0
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -197,14 +199,18 @@ class CachedEncoder:
 
 
 _ENCODERS: dict[int, CachedEncoder] = {}
-AT_TASK_END.append(lambda: [e.forget() for e in _ENCODERS.values()])
+AT_TASK_END.append(lambda: [e.forget() for e in _ENCODERS.values() if not e.keeps])
 
 
-def encoder(definition: str, cache_bytes: int = CACHE_BYTES) -> CachedEncoder:
-    """This Python worker's encoder for a definition; its cache goes when the task ends."""
+def encoder(definition: str, cache_bytes: int = CACHE_BYTES, keep: bool = False) -> CachedEncoder:
+    """This Python worker's encoder for a definition.
+
+    Its cache goes when the task ends, unless ``keep`` leaves it, within its bound, to
+    the worker's next tasks (Spark ends a worker that was idle for a minute).
+    """
     key = hash(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = CachedEncoder(definition)
-    _ENCODERS[key].cache_bytes = cache_bytes
+    _ENCODERS[key].cache_bytes, _ENCODERS[key].keeps = cache_bytes, keep
     return _ENCODERS[key]

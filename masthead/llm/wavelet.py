@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masthead.llm.shared import lean, materialize
-from masthead.llm.tokens import encoder
+from masthead.llm.tokens import KEPT_BYTES, encoder
 
 MAGIC = b"WVMX"
 RANK_BLOCK = 512
@@ -242,7 +242,7 @@ def write_token_shards(docs: DataFrame, definition: str, end_id: int = 0, planes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, first = encoder(definition), TaskContext.get().partitionId(), 0
+        own, part, first = encoder(definition, KEPT_BYTES, keep=True), TaskContext.get().partitionId(), 0
         kind = np.uint16 if planes <= 16 else np.uint32
         held: list[np.ndarray] = []
         ids: list = []
