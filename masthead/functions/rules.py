@@ -80,11 +80,11 @@ def protected_name(title: Column, anchor: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(F.substring_index(found, "|", 1).alias("name"), F.substring_index(found, "|", -1).alias("category")))
 
 
-def phrases(toks: Column) -> Column:
-    """Words and pairs of neighbours, the forms that blacklist terms have."""
-    n = F.size(toks)
-    pairs = F.when(n < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(toks, i.cast("int")), F.element_at(toks, (i + 1).cast("int")))))
-    return F.array_distinct(F.concat(toks, pairs))
+def terms_in(toks: Column, terms: list[str]) -> Column:
+    """The terms, of one or more whole words, that stand in a title or text, in the list's order."""
+    padded = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    found = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {t} ")), t) for t in terms]))
+    return F.when(toks.isNotNull(), found)
 
 
 def violations(cleaned: Column, toks: Column, anchor: Column) -> Column:
@@ -98,11 +98,10 @@ def violations(cleaned: Column, toks: Column, anchor: Column) -> Column:
 
     def listed(rule: str, terms: list[tuple[str, str]]) -> Column:
         refs = _map([(t, "Guideline " + g) for t, g in terms])
-        here = F.filter(F.array(*[F.lit(t) for t, _ in terms]), lambda t: F.array_contains(phrases(toks), t))
-        return F.transform(here, lambda t: entry(rule, F.initcap(t), F.element_at(refs, t)))
+        return F.transform(terms_in(toks, [t for t, _ in terms]), lambda t: entry(rule, F.initcap(t), F.element_at(refs, t)))
 
     coarse = F.transform(F.filter(toks, lambda t: t.isin(OBSCENE_TOKENS)), lambda t: entry("Derogatory / Criminal Association Term", F.initcap(t), F.lit("Guideline 14")))
     return F.concat(own, listed("Prohibited Enforcement Word", ENFORCEMENT_TERMS), listed("Emblems and Names", EMBLEM_TERMS), coarse)
 
 
-__all__ = ["entropy", "first_gibberish", "gibberish_type", "is_blank", "phrases", "prohibited_symbols", "protected_name", "structure_error", "violations"]
+__all__ = ["entropy", "first_gibberish", "gibberish_type", "is_blank", "prohibited_symbols", "protected_name", "structure_error", "terms_in", "violations"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -88,14 +89,22 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def levenshtein_ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (c != d))
-    return 1 - row[-1] / max(len(a), len(b))
+    """1 - edit distance / longer length; the rows of the table are bit vectors (Myers)."""
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        x = places.get(c, 0) | down
+        same = ((up + (x & up)) ^ up | x) & full
+        more, less = down | full & ~(up | same), up & same
+        distance += bool(more & last) - bool(less & last)
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(more | same)) & full, more & same
+    return 1 - distance / max(len(a), len(b))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -113,6 +122,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+@lru_cache(50_000)
 def ngrams(text: str, n: int = 3) -> frozenset[str]:
     if not text:
         return frozenset()
@@ -125,15 +135,20 @@ def dice_py(a: str, b: str, n: int = 3) -> float:
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
 
 
-def jaccard_py(a: list[str], b: list[str]) -> float:
+def jaccard_py(a: Sequence[str], b: Sequence[str]) -> float:
     x, y = set(a), set(b)
     return len(x & y) / max(1, len(x | y))
 
 
+@lru_cache(50_000)
+def _folded(text: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", text.lower())).strip()
+
+
 def orthographic(a: str, b: str, policy: str = "max") -> dict[str, float]:
     """The four measures and their aggregate, each to four places."""
     names = ("jaro_winkler", "levenshtein", "token_sort", "dice", "score")
-    x, y = (re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t.lower())).strip() for t in (a, b))
+    x, y = _folded(a), _folded(b)
     if not x or not y:
         return dict.fromkeys(names, 0.0)
     if x == y:
@@ -155,8 +170,14 @@ def orthographic(a: str, b: str, policy: str = "max") -> dict[str, float]:
     return dict(zip(names, (round(v, 4) for v in (jw, lev, order, grams, total)), strict=True))
 
 
-def _words(text: str) -> list[str]:
-    return re.sub(r"[^\w\s]", " ", text).lower().split()
+@lru_cache(50_000)
+def _words(text: str) -> tuple[str, ...]:
+    return tuple(re.sub(r"[^\w\s]", " ", text).lower().split())
+
+
+@lru_cache(50_000)
+def _sound_key(words: tuple[str, ...]) -> str:
+    return " ".join(p for p, _ in map(double_metaphone, words) if p)
 
 
 #: Scores when keys of two words agree: (long and alike, long and unlike, short and alike, short and unlike).
@@ -169,16 +190,16 @@ _RULES = {
 
 
 @lru_cache(200_000)
-def word_score(a: str, b: str) -> float:
-    """Phonetic likeness of two words; the first kind of agreement decides."""
+def word_match(a: str, b: str) -> tuple[str, float]:
+    """(kind, score) of the first kind of agreement of two words' keys."""
     (p, s), (q, t) = double_metaphone(a), double_metaphone(b)
     chars = jaro_winkler(a, b)
 
-    def scored(rule: str) -> float:
+    def scored(rule: str) -> tuple[str, float]:
         alike, unlike, short_alike, short_unlike = _RULES[rule]
         if max(len(a), len(b)) <= SHORT_WORD:
-            return short_alike if chars >= SHORT_CHAR_SIM or levenshtein_ratio(a, b) >= 0.80 else short_unlike
-        return alike if chars >= 0.70 else unlike
+            return rule, short_alike if chars >= SHORT_CHAR_SIM or levenshtein_ratio(a, b) >= 0.80 else short_unlike
+        return rule, alike if chars >= 0.70 else unlike
 
     if p and p == q:
         return scored("primary")
@@ -190,23 +211,25 @@ def word_score(a: str, b: str) -> float:
     if x and x == indic_soundex_py(b):
         return scored("soundex")
     if indic_normal_py(a) == indic_normal_py(b):
-        return 0.95  # words without Latin letters agree too; kept as it is
+        return "normalised", 0.95  # words without Latin letters agree too; kept as it is
     if p and q:
         keys = jaro_winkler(p, q)
         if keys >= 0.88 and chars >= 0.75:
-            return 0.90 * keys
-    return 0.0
+            return "fuzzy", 0.90 * keys
+    return "none", 0.0
 
 
-def phonetic(a: str, b: str) -> float:
-    """Of two titles: equal words, equal keys as a whole, else words aligned in order."""
-    x, y = _words(a), _words(b)
+def aligned(x: tuple[str, ...], y: tuple[str, ...]) -> tuple[float, list[tuple[str, str, str, float]]]:
+    """Score of two titles' words and the pairs behind it, as (word, word, kind, score).
+
+    Equal words, equal keys as a whole, else words aligned in order, the best free one for each.
+    """
     if not x or not y:
-        return 0.0
+        return 0.0, []
     if x == y:
-        return 1.0
-    keys = [" ".join(p for p, _ in map(double_metaphone, w) if p) for w in (x, y)]
-    if keys[0] and keys[0] == keys[1]:
+        return 1.0, [(w, w, "exact", 1.0) for w in x]
+    key = _sound_key(x)
+    if key and key == _sound_key(y):
         left, right = " ".join(x), " ".join(y)
         chars, lev = jaro_winkler(left, right), levenshtein_ratio(left, right)
         if max(len(left), len(right)) <= SHORT_WORD:
@@ -214,18 +237,31 @@ def phonetic(a: str, b: str) -> float:
         else:
             score = 1.0 if chars >= 0.70 else round(max(chars, 0.75), 4)
         if score >= 0.70:
-            return score
-    free, total = list(range(len(y))), 0.0
+            return score, [(v, w, "whole key", score) for v, w in zip(x, y, strict=False)]
+    free, total, pairs = list(range(len(y))), 0.0, []
     for w in x:
-        best, place = 0.0, -1
+        best, place, kind = 0.0, -1, "none"
         for j in free:
-            got = word_score(w, y[j])
+            how, got = word_match(w, y[j])
             if got > best:
-                best, place = got, j
+                best, place, kind = got, j, how
         if best >= 0.60:
             free.remove(place)
             total += best
-    return round(min(1.0, total / max(len(x), len(y))), 4)
+            pairs.append((w, y[place], kind, round(best, 4)))
+    return round(min(1.0, total / max(len(x), len(y))), 4), pairs
+
+
+def phonetic(a: str, b: str) -> float:
+    return aligned(_words(a), _words(b))[0]
+
+
+def fingerprint(title: str) -> dict[str, list[str] | str]:
+    """Keys of a title's words: metaphones and Indic soundex, empty ones left out."""
+    words = _words(title)
+    keys = [double_metaphone(w) for w in words]
+    sounds = [k for k in map(indic_soundex_py, words) if k]
+    return {"primary": [p for p, _ in keys if p], "secondary": [s for _, s in keys if s], "metaphone": _sound_key(words), "soundex": sounds, "soundex_key": "-".join(sounds)}
 
 
 @lru_cache(100_000)
@@ -233,21 +269,25 @@ def _bucket(feature: str) -> int:
     return int.from_bytes(hashlib.sha256(feature.encode()).digest()[:4], "big") % VECTOR_SIZE
 
 
+@lru_cache(50_000)
+def _vector(words: tuple[str, ...], concepts: tuple[str | None, ...]) -> dict[int, float]:
+    """Hashed features of length one: words or their concepts, and padded trigrams."""
+    v: dict[int, float] = {}
+    for w, concept in zip(words, concepts, strict=True):
+        own = _bucket(f"CONCEPT:{concept}" if concept is not None else f"WORD:{w}")
+        v[own] = v.get(own, 0.0) + (3.0 if concept is not None else 1.0)
+        for i in range(len(w)):
+            g = _bucket("GRAM:" + f"_{w}_"[i : i + 3])
+            v[g] = v.get(g, 0.0) + 0.3
+    norm = math.sqrt(sum(t * t for t in v.values()))
+    return {k: t / norm for k, t in v.items()}
+
+
 def semantic(a: str, b: str, concept: dict[str, str]) -> dict[str, float]:
     """Concepts shared word by word, and the cosine of hashed features."""
     x, y = _words(a), _words(b)
-    vectors = []
-    for words in (x, y):
-        v: dict[int, float] = {}
-        for w in words:
-            own = _bucket(f"CONCEPT:{concept[w]}" if w in concept else f"WORD:{w}")
-            v[own] = v.get(own, 0.0) + (3.0 if w in concept else 1.0)
-            for i in range(len(w)):
-                g = _bucket("GRAM:" + f"_{w}_"[i : i + 3])
-                v[g] = v.get(g, 0.0) + 0.3
-        norm = math.sqrt(sum(t * t for t in v.values()))
-        vectors.append({k: t / norm for k, t in v.items()})
-    cosine = round(min(1.0, max(0.0, sum(t * vectors[1].get(k, 0.0) for k, t in vectors[0].items()))), 4)
+    left_v, right_v = (_vector(w, tuple(map(concept.get, w))) for w in (x, y))
+    cosine = round(min(1.0, max(0.0, sum(t * right_v.get(k, 0.0) for k, t in left_v.items()))), 4)
     lexicon = 0.0
     if x and y:
         left, matched = [concept[w] for w in y if w in concept], 0
@@ -304,6 +344,26 @@ def phonetic_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([phonetic(x, y) for x, y in zip(a, b, strict=True)])
 
 
+PAIR = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "kind")] + [T.StructField("score", T.DoubleType())])
+DETAIL = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("matched", T.ArrayType(PAIR))])
+
+
+@F.pandas_udf(DETAIL)
+def phonetic_detail_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The phonetic score with its aligned words; null counts as empty."""
+    rows = [aligned(_words(x or ""), _words(y or "")) for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"score": [r[0] for r in rows], "matched": [[dict(zip(PAIR.names, m, strict=True)) for m in r[1]] for r in rows]})
+
+
+FINGERPRINT = T.StructType([T.StructField(c, T.StringType() if c in ("metaphone", "soundex_key") else T.ArrayType(T.StringType())) for c in ("primary", "secondary", "metaphone", "soundex", "soundex_key")])
+
+
+@F.pandas_udf(FINGERPRINT)
+def fingerprint_udf(title: pd.Series) -> pd.DataFrame:
+    """Phonetic keys of a whole title; null counts as empty."""
+    return pd.DataFrame([fingerprint(t or "") for t in title], columns=FINGERPRINT.names)
+
+
 ORTHOGRAPHIC_TYPE = T.StructType([T.StructField(k, T.DoubleType()) for k in ("jaro_winkler", "levenshtein", "token_sort", "dice", "score")])
 
 

@@ -1,4 +1,4 @@
-"""Text normalisation as column expressions; only NFKD needs Python (Arrow)."""
+"""Text normalisation as column expressions; only NFKD of values beyond ASCII needs Python (Arrow)."""
 
 from __future__ import annotations
 
@@ -18,13 +18,18 @@ WORD = r"\p{L}\p{N}_"
 
 @F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition; ASCII values pass unchanged."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+    """Compatibility decomposition."""
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t))
+
+
+def decomposed(text: Column) -> Column:
+    """NFKD; ASCII values, which it leaves as they are, are not sent to Python."""
+    return F.coalesce(nfkd(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def clean_text(text: Column) -> Column:
     """Decompose, lower, blank out all but word characters and hyphens, collapse."""
-    kept = F.regexp_replace(F.lower(nfkd(text)), f"[^{WORD}{SPACE}\\-]", " ")
+    kept = F.regexp_replace(F.lower(decomposed(text)), f"[^{WORD}{SPACE}\\-]", " ")
     return F.trim(F.regexp_replace(kept, f"[{SPACE}\\-]+", " "))
 
 

@@ -219,11 +219,11 @@ _TERMS = _values("terms", "term, guideline_ref", [(t, "Guideline " + g) for t, g
 @query(rf"""WITH {_TERMS}, docs AS (SELECT doc_id, ' ' || {_clean('text')} || ' ' AS c FROM documents UNION ALL SELECT -1 - id, ' ' || {_clean('title')} || ' ' FROM ({"SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(t)})" for i, t in enumerate(FIXTURES)) + ") AS f(id, title)"}))
 SELECT DISTINCT doc_id::BIGINT AS doc_id, term, guideline_ref FROM docs JOIN terms ON contains(c, ' ' || term || ' ')""")
 def blacklist_hits(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame([(t, "Guideline " + g) for t, g in vocab.ENFORCEMENT_TERMS + vocab.EMBLEM_TERMS], "term string, guideline_ref string")
+    terms = dict(vocab.ENFORCEMENT_TERMS + vocab.EMBLEM_TERMS)
     rows = table(spark, sf, "documents").select("doc_id", "text").unionByName(fixture_titles(spark).select((-1 - F.col("id")).alias("doc_id"), F.col("title").alias("text")))
-    toks = rows.select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("tokens"))
-    grams = toks.select("doc_id", F.explode(rules.phrases(F.col("tokens"))).alias("term"))
-    return grams.join(F.broadcast(terms), "term").select("doc_id", "term", "guideline_ref")
+    hits = rows.select("doc_id", F.explode(rules.terms_in(text.tokens(text.clean_text(F.col("text"))), list(terms))).alias("term"))
+    refs = F.create_map(*[F.lit(x) for t, g in terms.items() for x in (t, "Guideline " + g)])
+    return hits.select("doc_id", "term", F.element_at(refs, F.col("term")).alias("guideline_ref"))
 
 
 @query(rf"""WITH {FIX}, toks AS (SELECT id, unnest({_tokens('title')}) AS t FROM fixtures UNION ALL SELECT -1 - doc_id, unnest({_tokens('text')}) FROM documents)

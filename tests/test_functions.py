@@ -1,11 +1,15 @@
 """Unit tests of keys, measures and rules on known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from masthead.functions import phonetic as ph
 from masthead.functions import rules, text
 from masthead.functions import similarity as sim
+from masthead.functions.similarity import levenshtein_ratio
+from masthead.functions.text import clean_text, tokens
 from masthead.operators import lexicon
 
 
@@ -93,3 +97,23 @@ def test_anchor(spark):
     assert [r.a.anchor for r in rows[:3]] == ["mumbai", "", "delta"]
     assert rows[0].a.prefixes == ["the", "daily"] and rows[0].a.suffixes == ["express"]
     assert rows[3].t == ["nai", "ve"]
+
+
+def test_edit_distance_against_the_table():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcé ", k=rng.randrange(0, 80 if rng.random() < 0.1 else 9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert levenshtein_ratio(a, b) == (1 - row[-1] / max(len(a), len(b)) if a or b else 1.0)
+
+
+def test_terms_are_whole_words_and_decomposition_spares_ascii(spark):
+    rows = spark.createDataFrame([("the police gazette",), ("policeman",), ("lok  sabha",), ("",), (None,), ("Café ﬁne",)], "title string")
+    toks = tokens(clean_text(F.col("title")))
+    got = rows.select(rules.terms_in(toks, ["police", "lok sabha"]).alias("x"), clean_text(F.col("title")).alias("c")).collect()
+    assert [r.x for r in got] == [["police"], [], ["lok sabha"], [], None, []]
+    assert [r.c for r in got] == ["the police gazette", "policeman", "lok sabha", "", None, "cafe fine"]
