@@ -54,3 +54,15 @@ def shipped(concepts: DataFrame) -> dict[str, str]:
 
 def concept_map(lexicon: DataFrame) -> dict[str, str]:
     return shipped(word_concepts(lexicon))
+
+
+def title_concepts(titles: DataFrame, concepts: DataFrame, key: str) -> DataFrame:
+    """(key, concepts): concepts of a title's words in order, repeats kept; titles without any have no row.
+
+    titles: key, toks; concepts: word, concept (a lexicon's words, checked against ``MAX_WORDS``).
+    """
+    if concepts.limit(MAX_WORDS + 1).count() > MAX_WORDS:
+        raise ValueError(f"a lexicon has at most {MAX_WORDS} words")
+    words = titles.select(key, F.posexplode("toks").alias("pos", "word")).join(F.broadcast(concepts.select("word", "concept")), "word")
+    found = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "concept"))).alias("x"))
+    return found.select(key, F.transform("x", lambda v: v["concept"]).alias("concepts"))

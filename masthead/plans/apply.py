@@ -6,17 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masthead.plans.screen import Index, screen
+from masthead.sources.tables import application_rows
 from masthead.streaming import locks
 
 #: An application below this probability that was rejected is turned away (fixed value).
 LEAST_PROBABILITY = 40.0
 LOCK_PREFIX = "title_lock:"
+#: Bounds of an interactive request (fixed values).
+LONGEST_TITLE, MOST_TITLES = 300, 500
 
 
 def turned_away(probability: Column, status: Column) -> Column:
     return (probability < LEAST_PROBABILITY) & (status == "Rejected")
 
 
+def request_error(title: Column, longest: int = LONGEST_TITLE) -> Column:
+    """Why a title can't be asked for: MISSING, TOO_SHORT or TOO_LONG, else null."""
+    return F.when(title.isNull(), "MISSING").when(F.length(title) == 0, "TOO_SHORT").when(F.length(title) > longest, "TOO_LONG")
+
+
+def checked_batch(titles: DataFrame, most: int = MOST_TITLES) -> DataFrame:
+    """The titles of one interactive request; an empty one, or one of more than ``most``, is refused."""
+    n = titles.limit(most + 1).count()
+    if not 1 <= n <= most:
+        raise ValueError(f"a request has 1 to {most} titles")
+    return titles
+
+
+def record_applications(results: DataFrame, table: str = "title_applications") -> None:
+    """Append the accepted applications to their table; columns that the results lack are null."""
+    rows = application_rows(results.filter("result = 'ACCEPTED'")).withColumnsRenamed({"query_id": "id", "decision": "decision_code"})
+    wanted = results.sparkSession.table(table).schema
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("append").insertInto(table)
+
+
 def lock_key(cleaned_title: Column) -> Column:
     return F.concat(F.lit(LOCK_PREFIX), cleaned_title)
 
@@ -58,4 +81,4 @@ def failed_badge(probability: Column, status: Column) -> Column:
     return (status == "Rejected") | (probability < LEAST_PROBABILITY)
 
 
-__all__ = ["apply_titles", "band", "failed_badge", "health", "lock_key", "shown_percent", "turned_away"]
+__all__ = ["apply_titles", "band", "checked_batch", "failed_badge", "health", "lock_key", "record_applications", "request_error", "shown_percent", "turned_away"]

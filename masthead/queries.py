@@ -681,3 +681,28 @@ def export_batch(spark: SparkSession, sf: str) -> DataFrame:
     index = screen.build_index(part_registry(spark, sf))
     rows, _ = screen.screen_batch(all_titles(spark, sf).select(F.col("id").alias("query_id"), "title"), index)
     return tables.export_rows(rows)
+
+
+@query(f"WITH {ALL_FIX} SELECT id::BIGINT AS id, CASE WHEN title IS NULL THEN 'MISSING' WHEN length(title) = 0 THEN 'TOO_SHORT' WHEN length(title) > {apply.LONGEST_TITLE} THEN 'TOO_LONG' END AS error FROM fixtures")
+def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return all_titles(spark, sf).select("id", apply.request_error(F.col("title")).alias("error"))
+
+
+@query(rf"""WITH {ALL_FIX}, {_CONCEPTS}, w AS (SELECT id, i, ws[i] AS word FROM (SELECT id, {SPLIT.format('title')} AS ws FROM fixtures), unnest(range(1, len(ws) + 1)) AS u(i))
+SELECT id::BIGINT AS id, string_agg(concept, ' ' ORDER BY i) AS concepts FROM w JOIN concepts USING (word) GROUP BY id""")
+def title_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = all_titles(spark, sf).select("id", text.scorer_tokens(F.col("title")).alias("toks"))
+    found = lexicon.title_concepts(rows, lexicon.word_concepts(lexicon.default_lexicon(spark)), "id")
+    return found.select("id", F.array_join("concepts", " ").alias("concepts"))
+
+
+@query()
+def phonetic_details(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that stand behind each pair's phonetic score."""
+    rows = all_pairs(spark, sf).withColumn("d", sim.phonetic_detail_udf("a", "b"))
+    return rows.select("a", "b", F.col("d.score").alias("similarity"), F.to_json("d.matched").alias("matched"))
+
+
+@query()
+def phonetic_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return all_titles(spark, sf).withColumn("f", sim.fingerprint_udf("title")).select("id", F.to_json("f").alias("fingerprint"))
