@@ -83,8 +83,11 @@ def protected_name(title: Column, anchor: Column) -> Column:
 def terms_in(toks: Column, terms: list[str]) -> Column:
     """The terms, of one or more whole words, that stand in a title or text, in the list's order."""
     padded = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-    found = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {t} ")), t) for t in terms]))
-    return F.when(toks.isNotNull(), found)
+
+    def found(text: Column) -> Column:
+        return F.when(text.isNotNull(), F.array_compact(F.array(*[F.when(F.contains(text, F.lit(f" {t} ")), t) for t in terms])))
+
+    return F.get(F.transform(F.array(padded), found), F.lit(0))  # a variable, so that the text is made once
 
 
 def violations(cleaned: Column, toks: Column, anchor: Column) -> Column:
