@@ -18,8 +18,12 @@ blocks; with at most k differing shingles, at most k blocks differ.
    all its sets to its first.  So every true link lies inside one candidate
    cluster, without pairs of large groups being listed.
 4. **Verification** inside clusters with the whole sets.  A cluster of more than
-   ``CLUSTER`` sets is dealt out in pairs of blocks, so no task holds more than
-   two blocks.  Sets that are linked already are not compared again.
+   ``CLUSTER`` sets is dealt out in blocks, and no task holds more than two.  First
+   one block, a random sample, is compared with every block: that links each large
+   group.  Then a set is left out if all sets that share a key with it are linked
+   with it already, and the rest of the cluster's largest group isn't compared
+   with itself; only what remains is dealt out in pairs of blocks.  So a group of
+   C near copies costs C, not its square.
 
 Results are exact up to collisions of 64-bit hashes inside one pair of sets and
 of 128-bit digests of sets.  No cap drops candidates.
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,8 +142,11 @@ def may_link(n: int, a: np.ndarray, m: int, b: np.ndarray, percent: int) -> bool
     return apart <= (n + m) * (100 - percent) // (100 + percent)
 
 
-def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest of true links among the sets: the components of all their links."""
+def linked_sets(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of true links among the sets: the components of all their links.
+
+    Sets of equal labels are linked already and not compared.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
     bits = sketch_bits(int(2 * np.median(n)))
@@ -160,6 +167,8 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         apart = np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero(apart <= (size[i] + size[j]) * (100 - percent) // (100 + percent))
         a = int(order[i])
+        if labels is not None:
+            near = near[labels[order[i + 1 + near]] != labels[a]]
         for other in near[np.argsort(apart[near], kind="stable")].tolist():
             b = int(order[i + 1 + other])
             ra, rb = root(a), root(b)
@@ -255,17 +264,55 @@ def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    """True links (a, b) from (task, sid, shingles), task by task."""
+    """True links (a, b) from (task, sid, label, shingles), task by task."""
 
     def run(table: pa.Table) -> pa.Table:
         sids = table.column("sid").to_pylist()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
-        links = linked_sets(sets, percent)
+        links = linked_sets(sets, percent, table.column("label").to_numpy())
         return pa.table({"a": pa.array([sids[i] for i, _ in links], pa.int64()), "b": pa.array([sids[j] for _, j in links], pa.int64())})
 
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, others: Column) -> DataFrame:
+    """The rows (component, own, label, ...) once for each other block that theirs is compared with."""
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select(F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "sid", "label", "shingles")
+
+
+def _links(sent: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of all true links.
+
+    sent: sid, component, blocks, shingles; sets: sid, keys.  Clusters of one block
+    are compared at once.  In larger ones, block 0 is compared with all, and then
+    what may still lack a link: sets that share a key with a set of another label.
+    """
+    sent = sent.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("label", F.col("sid"))
+    hubs = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    first = materialize(_verified(_dealt(sent, hubs), percent), "jaccard-links")
+    large = sent.filter("blocks > 1")
+    if large.isEmpty():
+        return first
+
+    ids = large.select("sid", "component", "own").distinct()
+    found = components(first.join(ids.select(F.col("sid").alias("a")), "a", "left_semi"))
+    labelled = materialize(ids.join(found.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "jaccard-labelled")
+    keyed = materialize(sets.select("sid", F.explode("keys").alias("key")).join(labelled.select("sid", "label"), "sid"), "jaccard-keyed")
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    open_ = labelled.filter("own > 0").join(keyed.join(mixed, "key", "left_semi").select("sid").distinct(), "sid", "left_semi")
+    largest = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    open_ = materialize(open_.join(largest, "component").select("sid", "component", "label", (F.col("label") == F.col("largest")).alias("main")), "jaccard-open")
+    # blocks 0 to u - 1 hold the sets outside the largest group, the next m its own
+    part = lambda name, which: F.ceil(F.count_if(which) / CLUSTER).cast("int").alias(name)
+    sizes = open_.groupBy("component").agg(part("u", ~F.col("main")), part("m", F.col("main"))).filter("u > 0")
+    drawn = F.xxhash64("sid", F.lit(1))  # anew: the first draw has no block 0 here
+    own = F.when(F.col("main"), F.col("u") + F.pmod(drawn, F.greatest("m", F.lit(1)))).otherwise(F.pmod(drawn, F.greatest("u", F.lit(1)))).cast("int")
+    rest = large.select("sid", "shingles").join(open_.join(sizes, "component").withColumn("own", own), "sid")
+    others = F.sequence(F.lit(0), F.col("u") - 1 + F.when(F.col("main"), 0).otherwise(F.col("m")))
+    return materialize(first.unionByName(_verified(_dealt(rest, others), percent)), "jaccard-links")
+
+
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -293,10 +340,7 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     members = materialize(clusters.join(sizes, "component").join(sets.select(F.col("sid").alias("node"), "rep", "hi", "lo"), "node").select(F.col("node").alias("sid"), "rep", "hi", "lo", "component", "blocks"), "jaccard-members")
     texts = _texts_of(members, docs, id_col, text_col)
     sent = materialize(_shingled(texts, width), "jaccard-shingles")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sent.withColumn("own", own).withColumn("other", other).select(F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "sid", "shingles")
-    links = materialize(_verified(dealt, percent), "jaccard-links")
+    links = _links(sent, sets.select("sid", "keys"), percent)
     classes = components(links)
 
     named = sets.select("hi", "lo", "n", "rep", "sid").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -77,6 +77,27 @@ def test_classes(spark, monkeypatch, k, percent, cluster, pairs):
     assert got == {doc: want for (doc, _), want in zip(rows, classes_by_hand(rows, k, percent), strict=True)}
 
 
+def test_large_group_costs_its_size(spark, monkeypatch):
+    """A group of near copies many blocks large, with a few outsiders that share its keys: sets sent to tasks stay a few a set."""
+    monkeypatch.setattr(jaccard, "CLUSTER", 20)
+    sent, deal = [], jaccard._dealt
+
+    def counted(rows, others):
+        out = jaccard.materialize(deal(rows, others), "test-dealt")
+        sent.append((out.count(), out.groupBy("task").count().agg({"count": "max"}).first()[0] or 0))
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    texts = edited_copies(800, 400, 1) + [" ".join([f"w1x{i}" for i in range(200)] + [f"o{j}y{i}" for i in range(200)]) for j in range(10)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicate_classes(df, 4, 85).collect()}
+    assert got == dict(enumerate(classes_by_hand(rows, 4, 85)))
+    n_sets = len({jaccard.set_digest(jaccard.shingles(t, 4)) for t in texts})
+    assert n_sets > 600 and sum(n for n, _ in sent) < 5 * n_sets  # pairs of blocks would send each 30 times and more
+    assert max(m for _, m in sent) < 4 * 20
+
+
 def test_class_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicate_classes(none).count() == 0
