@@ -612,10 +612,14 @@ def guideline_search(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ locks
 
 
+#: Whole seconds, the nearest and of two the even one, as the SQL's cast takes them; ``unix_seconds`` would cut.
+_SECOND = "rint(unix_micros(cast(ts as timestamp)) / 1e6D)"
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     action = F.when(F.col("event_type") == "purchase", "release").otherwise("acquire")
-    return e.select(F.concat(F.lit("k"), F.col("user_id") % 50).alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("request"), F.col("user_id").cast("string").alias("applicant"), action.alias("action"))
+    return e.select(F.concat(F.lit("k"), F.col("user_id") % 50).alias("key"), F.expr(_SECOND).alias("at"), F.col("event_id").alias("request"), F.col("user_id").cast("string").alias("applicant"), action.alias("action"))
 
 
 _FOLD = """WITH RECURSIVE r AS (SELECT 'k' || (user_id % 50) AS key, epoch(ts)::BIGINT::DOUBLE AS sec, event_id AS request, user_id::VARCHAR AS applicant, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'acquire' END AS action,
