@@ -640,7 +640,7 @@ def lock_replay(spark: SparkSession, sf: str) -> DataFrame:
 @query(_FOLD + """, cut AS (SELECT quantile_disc(epoch(ts)::BIGINT, 0.5)::DOUBLE AS now FROM events), last AS (SELECT key, arg_max(holder, n) AS holder, arg_max(until, n) AS until FROM f, cut WHERE sec <= now GROUP BY key)
 SELECT key, holder, until AS expires_at FROM last, cut WHERE holder IS NOT NULL AND until > now""")
 def active_locks(spark: SparkSession, sf: str) -> DataFrame:
-    now = table(spark, sf, "events").agg(F.expr("percentile_disc(0.5) within group (order by unix_seconds(cast(ts as timestamp)))")).first()[0]
+    now = table(spark, sf, "events").agg(F.expr(f"percentile_disc(0.5) within group (order by {_SECOND})")).first()[0]
     return locks.active(locks.replay(_requests(spark, sf)), float(now)).select("key", "holder", "expires_at")
 
 

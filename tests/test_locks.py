@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 EVENTS = [(1, "00:00:10.6", 1, "click"), (2, "00:10:10.2", 51, "click"), (3, "00:10:20.9", 101, "view"), (4, "00:00:00.5", 2, "click"), (5, "00:10:00.4", 52, "click"), (6, "00:00:02.5", 3, "click"), (7, "00:10:01.5", 53, "view"), (8, "00:10:02.5", 53, "view"), (9, "00:10:11.7", 51, "purchase"), (10, "00:10:12.2", 151, "view"), (11, "00:20:00.0", 4, "view"), (12, "00:20:00.9", 4, "purchase")]
 
 
-@pytest.mark.parametrize("name", ["lock_replay"])
+@pytest.mark.parametrize("name", ["lock_replay", "active_locks"])
 def test_seconds_are_rounded_as_in_sql(spark, tmp_path, name):
     db = duckdb.connect()
     rows = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-01 {ts}', {user}::BIGINT, '{kind}', 0.0::DOUBLE)" for i, ts, user, kind in EVENTS)
