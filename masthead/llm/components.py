@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges don't matter; nodes without an edge aren't listed.
     The joins are on materialized tables, so a node with very many edges is split
-    by adaptive execution.
+    by adaptive execution.  The result is materialized; the rounds' tables are removed.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     while True:
@@ -30,12 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(_minimum(both), "cc-min")
         # large star: neighbours greater than the node point to the smallest
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = materialize(large.distinct(), "cc-large")
+        kept = materialize(large.distinct(), "cc-large", now, least)
         # small star: a node and its smaller neighbours point to the smallest of them
         least = materialize(_minimum(kept), "cc-min")
         joined = kept.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("u <> m").select("u", F.col("m").alias("v")))
-        after = materialize(small.distinct(), "cc-small")
+        after = materialize(small.distinct(), "cc-small", kept, least)
         # a forest of stars: every node has one parent, and no parent has one
         many = after.groupBy("u").count().filter("count > 1").limit(1).count()
         chained = 1 if many else after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
@@ -43,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         if not many and not chained:
             break
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "cc-done", now)

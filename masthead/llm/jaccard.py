@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from masthead.llm.components import components
 from masthead.llm.dedup import BLOCK, _blocks, _cells, maybe_repeated
-from masthead.llm.shared import lean, materialize
+from masthead.llm.shared import discard, lean, materialize
 
 #: Buckets of at most so many sets list their pairs.
 PAIRS = 8
@@ -297,12 +297,12 @@ def _links(sent: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ids = large.select("sid", "component", "own").distinct()
     found = components(first.join(ids.select(F.col("sid").alias("a")), "a", "left_semi"))
-    labelled = materialize(ids.join(found.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "jaccard-labelled")
+    labelled = materialize(ids.join(found.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "jaccard-labelled", found)
     keyed = materialize(sets.select("sid", F.explode("keys").alias("key")).join(labelled.select("sid", "label"), "sid"), "jaccard-keyed")
     mixed = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     open_ = labelled.filter("own > 0").join(keyed.join(mixed, "key", "left_semi").select("sid").distinct(), "sid", "left_semi")
     largest = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    open_ = materialize(open_.join(largest, "component").select("sid", "component", "label", (F.col("label") == F.col("largest")).alias("main")), "jaccard-open")
+    open_ = materialize(open_.join(largest, "component").select("sid", "component", "label", (F.col("label") == F.col("largest")).alias("main")), "jaccard-open", keyed, labelled)
     # blocks 0 to u - 1 hold the sets outside the largest group, the next m its own
     part = lambda name, which: F.ceil(F.count_if(which) / CLUSTER).cast("int").alias(name)
     sizes = open_.groupBy("component").agg(part("u", ~F.col("main")), part("m", F.col("main"))).filter("u > 0")
@@ -310,7 +310,7 @@ def _links(sent: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = F.when(F.col("main"), F.col("u") + F.pmod(drawn, F.greatest("m", F.lit(1)))).otherwise(F.pmod(drawn, F.greatest("u", F.lit(1)))).cast("int")
     rest = large.select("sid", "shingles").join(open_.join(sizes, "component").withColumn("own", own), "sid")
     others = F.sequence(F.lit(0), F.col("u") - 1 + F.when(F.col("main"), 0).otherwise(F.col("m")))
-    return materialize(first.unionByName(_verified(_dealt(rest, others), percent)), "jaccard-links")
+    return materialize(first.unionByName(_verified(_dealt(rest, others), percent)), "jaccard-links", first, open_)
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,39 +319,47 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     Rows link when 100 * |intersection| >= percent * |union| of their sets; the
     component is the smallest id that links reach.
     """
-    return _classes(docs, width, percent, id_col, text_col).drop("text_key")
+    return _classes(docs, width, percent, id_col, text_col)[0].drop("text_key")
 
 
-def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The classes, with the hash that tells apart rows of one id (or none)."""
-    described = materialize(_described(docs, width, percent, id_col, text_col), "jaccard-docs")
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The classes, with the hash that tells apart rows of one id (or none), and the scratch tables behind them.
+
+    Each other table is removed once nothing reads it any more, so the disk never
+    holds more than the keys twice.
+    """
+    whole = materialize(_described(docs, width, percent, id_col, text_col), "jaccard-docs")
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))
-    grouped = described.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min_by(F.struct("doc_id", "keys", "sketch"), first).alias("x"))
-    sets = materialize(grouped.select(F.monotonically_increasing_id().alias("sid"), "hi", "lo", "n", F.col("x.doc_id").alias("rep"), "x.keys", "x.sketch"), "jaccard-sets")
+    described = materialize(whole.select("doc_id", "text_key", "n", "hi", "lo"), "jaccard-digests")
+    grouped = whole.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min_by(F.struct("doc_id", "keys", "sketch"), first).alias("x"))
+    sets = materialize(grouped.select(F.monotonically_increasing_id().alias("sid"), "hi", "lo", "n", F.col("x.doc_id").alias("rep"), "x.keys", "x.sketch"), "jaccard-sets", whole)
 
     edges = materialize(_bucket_edges(sets.select(F.explode("keys").alias("key"), "sid")).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-edges")
     left = sets.select(F.col("sid").alias("a"), "n", F.col("sketch").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     weak = _allowed(edges.filter("not sure").join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y"), percent)
-    candidates = materialize(edges.filter("sure").select("a", "b").unionByName(weak), "jaccard-candidates")
-    clusters = materialize(components(candidates), "jaccard-clusters")
+    candidates = materialize(edges.filter("sure").select("a", "b").unionByName(weak), "jaccard-candidates", edges)
+    clusters = components(candidates)
+    discard(candidates)
 
     sizes = materialize(clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / CLUSTER).cast("int").alias("blocks")), "jaccard-sizes")
-    members = materialize(clusters.join(sizes, "component").join(sets.select(F.col("sid").alias("node"), "rep", "hi", "lo"), "node").select(F.col("node").alias("sid"), "rep", "hi", "lo", "component", "blocks"), "jaccard-members")
-    texts = _texts_of(members, docs, id_col, text_col)
-    sent = materialize(_shingled(texts, width), "jaccard-shingles")
+    members = materialize(clusters.join(sizes, "component").join(sets.select(F.col("sid").alias("node"), "rep", "hi", "lo"), "node").select(F.col("node").alias("sid"), "rep", "hi", "lo", "component", "blocks"), "jaccard-members", clusters, sizes)
+    texts, bits = _texts_of(members, docs, id_col, text_col)
+    sent = materialize(_shingled(texts, width), "jaccard-shingles", members, bits)
     links = _links(sent, sets.select("sid", "keys"), percent)
+    discard(sent)
     classes = components(links)
+    discard(links)
 
     named = sets.select("hi", "lo", "n", "rep", "sid").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = materialize(named.join(least, "component").select("hi", "lo", "n", "component_id"), "jaccard-labels")
+    labels = materialize(named.join(least, "component").select("hi", "lo", "n", "component_id"), "jaccard-labels", sets, classes)
     full = described.filter("n > 0").select("doc_id", "text_key", "n", "hi", "lo").join(labels, ["hi", "lo", "n"]).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(described.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return full.unionByName(described.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), (described, labels)
 
 
-def _texts_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The members with their representatives' texts.
+def _texts_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The members with their representatives' texts, and the filter's table.
 
     A Bloom filter of the representatives, of bounded size, keeps the texts of all
     other rows out of the shuffle.  Rows that repeat an id with another text are
@@ -363,7 +371,7 @@ def _texts_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     bits = materialize(cells.groupBy(F.floor(F.col("cell") / BLOCK).alias("__block")).agg(F.bitmap_construct_agg(F.col("cell") % BLOCK).alias("__bits")), "jaccard-bloom")
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     asked = maybe_repeated(rows.withColumn("__sha", F.coalesce(F.col("rep").cast("string"), F.lit("")).cast("binary")), bits, blocks).filter("__maybe").select("rep", "text")
-    return members.join(asked, members["rep"].eqNullSafe(asked["rep"])).select("sid", "hi", "lo", "component", "blocks", "text")
+    return members.join(asked, members["rep"].eqNullSafe(asked["rep"])).select("sid", "hi", "lo", "component", "blocks", "text"), bits
 
 
 def _shingled(texts: DataFrame, width: int) -> DataFrame:
@@ -386,6 +394,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Rows of one class that repeat the smallest id all stay; exact duplicates are
     another operator's.
     """
-    classes = _classes(docs, width, percent, id_col, text_col)
+    classes, used = _classes(docs, width, percent, id_col, text_col)
     gone = classes.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
+    gone = materialize(gone, "jaccard-gone", *used)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__gone_text"]), "left_anti")
