@@ -25,9 +25,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
+
 from masthead.llm.shared import AT_TASK_END
 
-#: Bytes of units and ids kept during a task; the cache starts afresh beyond it.
+#: Bytes of units and ids kept during a task; beyond it the longer, rarer half goes.
 CACHE_BYTES = 144 << 20
 #: The same for operators that leave the cache to a worker's next tasks.
 KEPT_BYTES = 288 << 20
@@ -35,6 +37,8 @@ KEPT_BYTES = 288 << 20
 ENTRY_BYTES = 100
 #: Units of more characters are not kept.
 UNIT_CHARS = 48
+#: New words that the library gets as one text.
+JOINED = 1_000
 #: Characters handed to the library at once.
 BATCH_CHARS = 1_000_000
 
@@ -88,35 +92,77 @@ class CachedEncoder:
         self.newline, *stops = self._whole(["\n", ".", ","])
         self.stops = dict(zip(".,", stops, strict=True))
         self.cache_bytes, self.keeps = CACHE_BYTES, False
-        self.held = 0
+        self.starts = self._space_starts() if self.cuttable else None
+        self.forget()
+
+    def forget(self) -> None:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.held = 0
 
-    def forget(self) -> None:
-        self.first, self.rest, self.held = {}, {}, 0
+    def _thin(self) -> None:
+        """Keep the shorter units, at most half of the bytes."""
+        size, sizes = sys.getsizeof, [0] * (UNIT_CHARS + 1)
+        for known in (self.first, self.rest):
+            for unit, ids in known.items():
+                sizes[len(unit)] += size(unit) + size(ids) + ENTRY_BYTES
+        kept, longest = 0, -1
+        while longest < UNIT_CHARS and kept + sizes[longest + 1] <= self.cache_bytes // 2:
+            longest += 1
+            kept += sizes[longest]
+        self.first = {u: ids for u, ids in self.first.items() if len(u) <= longest}
+        self.rest = {u: ids for u, ids in self.rest.items() if len(u) <= longest}
+        self.held = kept
+
+    def _space_starts(self) -> np.ndarray:
+        """For each id, whether its token begins with a space."""
+        vocab = self.tokenizer.get_vocab()
+        starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        starts[[i for token, i in vocab.items() if token[:1] == "\u0120" and token not in self.added]] = True
+        return starts
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each after a space.
+
+        Such a word and its space are one pre-token, so in one text of many words
+        the tokens that begin with a space part the words."""
+        texts = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.starts[ids])).tolist()
+            at.append(len(raw))
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out if len(out) == len(words) else self._whole([" " + w for w in words])
+
     def _learn(self, units: Iterable[str], known: dict[str, bytes], lead: str) -> list[str]:
         """Add the ids of new units; returned are those too long to be kept.
 
         A stop or comma after a letter is a token of its own, so such units are put
         together from the word's ids."""
-        new = set(units).difference(known)
+        added = new = set(units).difference(known)
         ended = {u: u[:-1] for u in new if u[-1:] in self.stops and u[-2:-1].isalpha()}
-        new.difference_update(ended)
-        new.update(w for w in ended.values() if w not in known)
-        fresh = list(new)
+        if ended:
+            words = set(ended.values()).difference(known)
+            added = added | words
+            new = new.difference(ended) | words
+        plain = [u for u in new if u.isalpha()] if lead else []
+        fresh = [u for u in new if not u.isalpha()] if lead else list(new)
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            known.update(zip(part, self._words(part), strict=True))
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             known.update(zip(part, self._whole([lead + u for u in part]), strict=True))
         for unit, word in ended.items():
             known[unit] = known[word] + self.stops[unit[-1]]
-        new.update(ended)
-        long = [u for u in new if len(u) > UNIT_CHARS]
+        long = [u for u in added if len(u) > UNIT_CHARS]
         size = sys.getsizeof
-        self.held += sum(size(u) + size(known[u]) for u in new) + ENTRY_BYTES * len(new) - sum(size(u) + size(known[u]) + ENTRY_BYTES for u in long)
+        short = added.difference(long) if long else added
+        self.held += sum(map(size, short)) + sum(map(size, map(known.__getitem__, short))) + ENTRY_BYTES * len(short)
         return long
 
     def _units(self, text: str) -> list[list[str]]:
@@ -136,7 +182,7 @@ class CachedEncoder:
         if not self.cuttable:
             return self._whole(texts)
         if self.held > self.cache_bytes:
-            self.forget()
+            self._thin()
         cut = [self._units(text) for text in texts]
         heads = [[line.pop(0) for line in lines] for lines in cut]
         first, rest = self.first, self.rest

@@ -217,11 +217,11 @@ class WaveletShard:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         value = np.zeros(self.n, kind)
         for level in reversed(range(self.planes)):
-            bits, zeros = np.unpackbits(self.bits[level], count=self.n), self.zeros[level]
+            ones, zeros = np.unpackbits(self.bits[level], count=self.n).view(bool), self.zeros[level]
             value[zeros:] |= kind(1 << (self.planes - 1 - level))
             wider = np.empty_like(value)
-            wider[np.flatnonzero(bits)] = value[zeros:]
-            wider[np.flatnonzero(bits == 0)] = value[:zeros]
+            wider[ones] = value[zeros:]
+            wider[~ones] = value[:zeros]
             value = wider
         return value
 
