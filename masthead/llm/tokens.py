@@ -29,9 +29,10 @@ import numpy as np
 
 from masthead.llm.shared import AT_TASK_END
 
-#: Bytes of units and ids kept during a task; beyond it the longer, rarer half goes.
+#: Bytes of units and ids kept during a task; the cache starts afresh beyond it.
 CACHE_BYTES = 144 << 20
-#: The same for operators that leave the cache to a worker's next tasks.
+#: The same for operators that leave the cache to a worker's next tasks; beyond it
+#: the longer, rarer half goes.
 KEPT_BYTES = 288 << 20
 #: Bytes of a cache entry besides its strings.
 ENTRY_BYTES = 100
@@ -182,7 +183,10 @@ class CachedEncoder:
         if not self.cuttable:
             return self._whole(texts)
         if self.held > self.cache_bytes:
-            self._thin()
+            if self.keeps:
+                self._thin()
+            else:  # all at once leaves no memory in pieces
+                self.forget()
         cut = [self._units(text) for text in texts]
         heads = [[line.pop(0) for line in lines] for lines in cut]
         first, rest = self.first, self.rest
