@@ -255,18 +255,21 @@ def write_token_shards(docs: DataFrame, definition: str, end_id: int = 0, planes
         size, id_type = 0, None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for doc_id, got in zip(batch.column("id").to_pylist(), own.encode_stream(t.as_py() for t in batch.column("text")), strict=True):
-                wide = np.frombuffer(got + end, "<u4")
+            doc_ids = iter(batch.column("id").to_pylist())
+            for wide, lengths in own.encode_column(batch.column("text"), end):
                 if planes < 32 and wide.max() >> planes:
                     raise ValueError(f"a token id needs more than {planes} planes")
-                held.append(wide.astype(kind))
-                ids.append(doc_id)
-                size += len(wide)
-                if size >= shard_tokens:
-                    yield shard()
-                    first, size = first + size, 0
-                    held.clear()
-                    ids.clear()
+                tokens, at = wide.astype(kind), 0
+                for n in lengths.tolist():
+                    held.append(tokens[at : at + n])
+                    ids.append(next(doc_ids))
+                    at += n
+                    size += n
+                    if size >= shard_tokens:
+                        yield shard()
+                        first, size = first + size, 0
+                        held.clear()
+                        ids.clear()
         if held:
             yield shard()
 

@@ -88,6 +88,46 @@ def test_long_texts_in_segments(definition, tokenizer):
         assert "".join(tokens.segments(text)) == text
 
 
+def column_ids(own: CachedEncoder, texts: list, end: bytes = b"") -> list[list[int]]:
+    out = []
+    for ids, lengths in own.encode_column(pa.array(texts, pa.string()), end):
+        assert lengths.sum() == len(ids)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    return out
+
+
+PARTS = [*" \n" * 6, *"abzA09'\"_.,!-$\t\r\v\f\x1c\x00\x7f", "'s", "'re", "'T", *"éß×÷Āſñ—…日。ひá²½٣ⅷ😀ªʰ", *"́\u0085      　​﻿", "word", " word", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize("portion", [tokens.PORTION_BYTES, 90])
+def test_column_ids_equal_the_library(definition, tokenizer, monkeypatch, portion):
+    monkeypatch.setattr(tokens, "PORTION_BYTES", portion)
+    rng, own = random.Random(portion), CachedEncoder(definition)
+    own.cache_bytes, own.keeps = 100_000, True
+    texts = ["", " ", "end  ", "next", "\n", "x", None, "日本語" * 40, "w" * 300, *some_texts(), "", *["".join(rng.choices(PARTS, k=rng.randrange(40))) for _ in range(4000)], ""]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert column_ids(own, texts) == want
+    assert column_ids(own, texts, bytes(4)) == [ids + [0] for ids in want]
+    assert column_ids(own, []) == [] and column_ids(own, ["", ""]) == [[], []]
+    part = pa.array(texts, pa.string()).slice(3, 7)
+    assert np.concatenate([ids for ids, _ in own.encode_column(part)]).tolist() == sum(want[3:10], [])
+
+
+def test_column_units_are_words_and_signs(definition, tokenizer, monkeypatch):
+    """A known word beside any sign or digits asks nothing of the library again."""
+    own = CachedEncoder(definition)
+    column_ids(own, ["thonder wérzu ! ) ( 12 thonder !) 7"])
+    text = "thonder) wérzu! 12) thonder!) wérzu) 12! thonder7 wérzu7!)"
+    column_ids(own, [f"thonder!) {x}" for x in ("thonder) 12", "7", "!")])
+    asked = []
+    for name in ("_whole", "_words", "_lines"):
+        real = getattr(own, name)
+        monkeypatch.setattr(own, name, lambda units, real=real: asked.extend(units) or real(units))
+    assert column_ids(own, [" " + text]) == [tokenizer.encode(" " + text, add_special_tokens=False).ids]
+    assert set(asked) <= {")", "!", "!)", "7"}
+
+
+
 PROBE = """
 import sys, psutil, random
 from masthead.llm import bpe, shared, tokens
