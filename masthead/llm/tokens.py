@@ -9,8 +9,10 @@ out first.  Tokenizers of another kind get their texts whole.
 ``encode_column`` does the same to the bytes of an Arrow column without a Python
 string for each word.  It cuts finer: also where letters (ASCII, and Latin letters
 of the lead bytes C3 to C5), ASCII digits and ASCII punctuation meet, but never
-after an apostrophe, and nowhere next to other characters.  Texts of more than
-``PORTION_BYTES``, and those that hold an added token, go the way above.
+after an apostrophe, nowhere next to other characters, and not inside what has more
+than ``UNIT_CHARS`` bytes between white space (pieces of base64 hardly ever come
+again).  Texts of more than ``PORTION_BYTES``, and those that hold an added token,
+go the way above.
 
 Memory is bounded in bytes: the cache by ``CACHE_BYTES``, the work in hand by
 ``BATCH_CHARS`` or ``PORTION_BYTES``.  Units longer than ``UNIT_CHARS`` (a line of Chinese, a run of
@@ -85,16 +87,21 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     known, newline = kind > 1, data == 10
     out = np.zeros(len(data) + 1, bool)
     inner = out[1:-1]  # between each byte and the next
-    np.not_equal(kind[:-1], kind[1:], out=inner)
-    inner &= known[:-1]
-    inner &= kind[1:] > 0
-    inner &= ~((data[:-1] == 39) & (kind[1:] == 2))
+    np.logical_and(known[:-1], kind[1:] == 1, out=inner)
     inner[1:] |= known[:-2] & newline[1:-1] & visible[2:]
     space = data[:-1] == 32
     space &= visible[1:]
     space[starts[(starts > 0) & (starts < len(data))] - 1] = False  # a text's last space
     out[:-2] |= space
     out[starts] = True
+    fine = kind[:-1] != kind[1:]
+    fine &= known[:-1]
+    fine &= known[1:]
+    fine &= ~((data[:-1] == 39) & (kind[1:] == 2))
+    begin = np.append(np.flatnonzero(out[:-1]), len(data))
+    for i in np.flatnonzero(np.diff(begin) > UNIT_CHARS).tolist():
+        fine[begin[i] : begin[i + 1] - 1] = False
+    inner |= fine
     return out[:-1]
 
 
@@ -345,7 +352,9 @@ class CachedEncoder:
             begin = np.zeros(0, np.int64)
         offsets = np.append(begin, size).astype(np.int32)
         units = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._ids(units.dictionary.to_pylist())
+        places, raw = np.frombuffer(units.dictionary.buffers()[1], np.int32, len(units.dictionary) + 1).tolist(), units.dictionary.buffers()[2]
+        raw = raw.to_pybytes() if raw else b""
+        ids = self._ids([raw[a:b] for a, b in zip(places, places[1:], strict=False)])
         ends = np.searchsorted(begin, at[1:] - at[0])  # units before each text's end
         order = np.insert(units.indices.to_numpy(), ends, len(ids))
         ids.append(end)
@@ -359,7 +368,9 @@ class CachedEncoder:
         """Ids of different units, from the cache or the library."""
         self._bound()
         known = self.units
-        fresh = [u for u in units if u not in known]
+        found = list(map(known.get, units))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = [units[i] for i in missing]
         long = [u for u in fresh if len(u) > UNIT_CHARS]
         short = [u for u in fresh if len(u) <= UNIT_CHARS] if long else fresh
         words, lines, other = [], [], []
@@ -367,19 +378,22 @@ class CachedEncoder:
             text = u.decode()
             word = text.removeprefix(" ")
             if word.isalpha():
-                (lines if len(word) == len(text) else words).append(text)
+                if len(word) < len(text):
+                    words.append((u, word))
+                else:
+                    lines.append((u, text))
             else:
-                (lines if word and word.isascii() and word.isprintable() and " " not in word else other).append(text)
-        for some, coded in ((words, lambda part: self._words([u[1:] for u in part])), (lines, self._lines), (other, self._whole)):
+                (lines if word and word.isascii() and word.isprintable() and " " not in word else other).append((u, text))
+        for some, coded in ((words, self._words), (lines, self._lines), (other, self._whole)):
             for i in range(0, len(some), 20_000):
-                part = some[i : i + 20_000]
-                known.update(zip([u.encode() for u in part], coded(part), strict=True))
+                part, asked = zip(*some[i : i + 20_000], strict=True)
+                known.update(zip(part, coded(list(asked)), strict=True))
         size = sys.getsizeof
         self.held += sum(map(size, short)) + sum(map(size, map(known.__getitem__, short))) + ENTRY_BYTES * len(short)
-        if not long:
-            return list(map(known.__getitem__, units))
         once = dict(zip(long, self.encode_stream(u.decode() for u in long), strict=True))
-        return [once[u] if u in once else known[u] for u in units]
+        for i, u in zip(missing, fresh, strict=True):
+            found[i] = once[u] if u in once else known[u]
+        return found
 
 
 _ENCODERS: dict[int, CachedEncoder] = {}

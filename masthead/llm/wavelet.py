@@ -220,8 +220,8 @@ class WaveletShard:
             ones, zeros = np.unpackbits(self.bits[level], count=self.n).view(bool), self.zeros[level]
             value[zeros:] |= kind(1 << (self.planes - 1 - level))
             wider = np.empty_like(value)
-            wider[ones] = value[zeros:]
-            wider[~ones] = value[:zeros]
+            wider[np.flatnonzero(ones)] = value[zeros:]  # places are several times faster than masks
+            wider[np.flatnonzero(~ones)] = value[:zeros]
             value = wider
         return value
 

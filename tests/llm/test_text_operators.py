@@ -125,6 +125,10 @@ def test_column_units_are_words_and_signs(definition, tokenizer, monkeypatch):
         monkeypatch.setattr(own, name, lambda units, real=real: asked.extend(units) or real(units))
     assert column_ids(own, [" " + text]) == [tokenizer.encode(" " + text, add_special_tokens=False).ids]
     assert set(asked) <= {")", "!", "!)", "7"}
+    before = own.held, len(own.units)
+    line = "aB3+" * 60
+    assert column_ids(own, [line]) == [tokenizer.encode(line, add_special_tokens=False).ids]
+    assert (own.held, len(own.units)) == before
 
 
 
