@@ -1,15 +1,51 @@
 """Connected components of an edge table by alternating large and small stars.
 
 All work is in joins and aggregations over edges; each round is written to the
-shared folder, and only the number of changed rows reaches the driver.
+shared folder, and only the number of changed rows reaches the driver.  A table of
+at most ``LOCAL_EDGES`` edges with long ids is solved by one task instead: its
+rounds would be a dozen or more written tables of few rows each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from masthead.llm.shared import lean, materialize
+
+#: Edges that one task solves, in memory of about 100 bytes an edge.
+LOCAL_EDGES = 1_000_000
+
+
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges in order, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, after := label[label]):
+            label = after
+
+
+def _local(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")] for batch in batches]
+        if held:
+            nodes, least = smallest_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["node", "component"])
 
-from masthead.llm.shared import materialize
+    return edges.coalesce(1).mapInArrow(lean(run), "node long, component long")
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -20,11 +56,16 @@ def _minimum(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node.
 
-    Loops and repeated edges don't matter; nodes without an edge aren't listed.
+    ``edges`` that aren't materialized yet are written first.  Loops and repeated edges don't matter; nodes without an edge aren't listed.
     The joins are on materialized tables, so a node with very many edges is split
     by adaptive execution.  The result is materialized; the rounds' tables are removed.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    long = all(isinstance(edges.schema[c].dataType, T.LongType) for c in ("a", "b"))
+    given = edges if hasattr(edges, "scratch_path") else materialize(edges.select("a", "b"), "cc-given")
+    written = () if given is edges else (given,)
+    if long and given.count() <= LOCAL_EDGES:
+        return materialize(_local(given.select("a", "b").filter("a <> b")), "cc-done", *written)
+    now = materialize(given.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges", *written)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(_minimum(both), "cc-min")

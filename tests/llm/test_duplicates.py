@@ -1,6 +1,7 @@
 """Exact and near duplicates and the pipeline, against brute force."""
 
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -145,6 +146,23 @@ def test_components(spark):
         assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("bound, tables", [(140, 2), (139, None)])
+def test_components_of_few_edges(spark, monkeypatch, bound, tables):
+    """Edges up to the bound are solved by one task, with the result of the rounds that more of them take."""
+    module, written = sys.modules[components.__module__], []
+    write = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label, *used: written.append(label) or write(df, label, *used))
+    monkeypatch.setattr(module, "LOCAL_EDGES", bound, raising=False)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(500, i) for i in range(460, 500)]
+    pairs = [(900 + 2 * i, 901 + 2 * i) for i in range(38)]
+    edges = [*chain, *star, *pairs, (7, 7), (161, 130)]
+    got = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()))
+    want = [(i, 100) for i in range(100, 162)] + [(i, 460) for i in range(460, 501)] + [(x, a) for a, b in pairs for x in (a, b)]
+    assert got == want
+    assert len(written) == tables if tables else len(written) > 4
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
