@@ -33,12 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from masthead.llm.shared import lean, materialize
-from masthead.llm.tokens import KEPT_BYTES, encoder
+from masthead.llm.tokens import KEPT_BYTES, PORTION_BYTES, encoder
 
 #: Pieces that a partition packs at once; bounds a worker's memory.
 CHUNK_PIECES = 20_000
-#: Rows whose texts are taken out of an Arrow batch at once.
-SLICE_ROWS = 1_000
 #: The most underfull bins that one group of a round has; groups are dealt by a hash to be three quarters full.
 FAN = 2_000
 
@@ -89,12 +87,13 @@ def _merged(bins: list[dict], capacity: int, slack: int) -> list[dict]:
     return out
 
 
-def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_bytes: int = KEPT_BYTES, keep_cache: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_id: int = 0, slack: int = 8, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN, cache_bytes: int = KEPT_BYTES, keep_cache: bool = True, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     slack: a bin with at most so much room left is closed where it is made.
     cache_bytes, keep_cache: the bound of a worker's unit cache, and whether its next
-    tasks have it; for executors with less memory or other stages.
+    tasks have it; portion_bytes: the bytes of text cut at once; for executors with
+    less memory or other stages.
     """
     schema = _bin_schema(docs.schema[id_col].dataType)
     arrow = pa.schema([("size", pa.int32()), ("closed", pa.bool_())])
@@ -112,15 +111,17 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = 2048, end_i
         for batch in batches:
             if item_type is None:
                 item_type = pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = (t for at in range(0, batch.num_rows, SLICE_ROWS) for t in batch.column("text").slice(at, SLICE_ROWS).to_pylist())
-            for doc_id, ids in zip(doc_ids, own.encode_stream(texts), strict=True):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                    pieces.append({"size": length, "items": [{"doc_id": doc_id, "piece": k, "start": start, "length": length, "ids_crc32": crc, "offset": 0}]})
-                if len(pieces) >= CHUNK_PIECES:
-                    yield packed()
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, lengths in own.encode_column(batch.column("text"), end, portion_bytes):
+                raw, at = memoryview(ids).cast("B") if len(ids) else b"", 0
+                for n in lengths.tolist():
+                    doc_id = next(doc_ids)
+                    for k, (start, length) in enumerate(cut(n, capacity)):
+                        crc = zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)])
+                        pieces.append({"size": length, "items": [{"doc_id": doc_id, "piece": k, "start": start, "length": length, "ids_crc32": crc, "offset": 0}]})
+                    at += n
+                    if len(pieces) >= CHUNK_PIECES:
+                        yield packed()
         if pieces:
             yield packed()
 

@@ -319,19 +319,19 @@ class CachedEncoder:
             yield b"".join(done + coded[at:end])
             done, at = [], end
 
-    def encode_column(self, texts: pa.Array, end: bytes = b"") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of consecutive texts, each followed by ``end``, and their numbers by text."""
+    def encode_column(self, texts: pa.Array, end: bytes = b"", portion: int = PORTION_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of consecutive texts, each followed by ``end``, and their numbers by text; about ``portion`` bytes at once."""
         if not len(texts):
             return
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         sizes = np.diff(at)
-        apart = (sizes > PORTION_BYTES) | (not self.cuttable)
+        apart = (sizes > portion) | (not self.cuttable)
         for token in self.added if self.cuttable else ():
             apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + PORTION_BYTES, side="right")) - 1)
+            last = max(first + 1, int(np.searchsorted(at, at[first] + portion, side="right")) - 1)
             change = np.flatnonzero(apart[first:last] != apart[first])
             last = min(last, len(texts), first + int(change[0]) if len(change) else last)
             if apart[first]:

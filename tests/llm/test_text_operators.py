@@ -358,6 +358,27 @@ def test_packing_odd_ids(spark, definition):
     assert all(sorted(x)[0][0] == 0 and sum(n for _, n in x) <= 8 for x in by.values())
 
 
+def test_packing_by_column(spark, definition, tokenizer, monkeypatch):
+    """Texts are encoded by column, in portions that may be smaller than a text."""
+
+    def by_column(*options, of=packing.encoder):
+        own = of(*options)
+
+        class Columns:
+            encode_column = staticmethod(own.encode_column)
+
+        return Columns
+
+    monkeypatch.setattr(packing, "encoder", by_column)
+    docs = edge_documents(spark)
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+    for portion in (64, 1 << 20):
+        rows = packed(spark, docs.repartition(2), definition, capacity=32, portion_bytes=portion)
+        check_packing(rows, {d: len(i) for d, i in ids.items()}, 32)
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(array("I", ids[r.doc_id][r.start : r.start + r.length]).tobytes())
+
+
 def test_packing_empty(spark, definition):
     assert packed(spark, edge_documents(spark).limit(0), definition) == []
 
