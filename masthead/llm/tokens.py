@@ -319,10 +319,11 @@ class CachedEncoder:
             yield b"".join(done + coded[at:end])
             done, at = [], end
 
-    def encode_column(self, texts: pa.Array, end: bytes = b"", portion: int = PORTION_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_column(self, texts: pa.Array, end: bytes = b"", portion: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of consecutive texts, each followed by ``end``, and their numbers by text; about ``portion`` bytes at once."""
         if not len(texts):
             return
+        portion = portion or PORTION_BYTES
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         sizes = np.diff(at)
